@@ -66,7 +66,8 @@ def plan_containers(histogram: np.ndarray, capacity: int, bounds: list[int]) ->
     left = histogram.astype(np.int64).copy()
     given = np.zeros_like(left)
     bound_of = np.zeros(len(left), np.int64)
-    bound_of[1:] = np.array(bounds, np.int64)[np.searchsorted(bounds, np.arange(1, len(left)))] if bounds else 0
+    for low, high in zip([0, *bounds], bounds):
+        bound_of[low + 1 : high + 1] = high
     runs, made = [], 0
     longest = len(left) - 1
     while True:
