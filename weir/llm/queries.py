@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from weir.llm.components import connected_sets, pair_links, star_links
 from weir.llm.packing import items_of, pack
+from weir.llm.spans import SpanIndex, shared_spans
 from weir.llm.tokenize import documents_with_ids, with_token_count
 from weir.scratch import Scratch
 from weir.sources.tables import table
 
 #: Tokens that a container holds.
 CAPACITY = 2048
+#: Least length of a shared span, in code points.
+SPAN = 200
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +47,20 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return of.groupBy("bucket").agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("used").alias("tokens"), F.sum(CAPACITY - F.col("used")).alias("room"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p9_fill)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a span of 200 characters that also stands in another one, and how many of their characters do."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "created_at", "received_at")
+    scratch = Scratch(spark, "spans")
+    index = SpanIndex(spark, scratch.path, span=SPAN)
+    late = F.coalesce(F.col("received_at") > F.col("created_at") + F.expr("interval 2 days"), F.lit(False))
+    for batch in (documents.filter(~late), documents.filter(late)):  # what came in time is history when the rest arrives
+        index.append(batch, "doc_id", "text")
+    found = shared_spans(index, documents, "doc_id", "text", scratch)
+    index.drop()  # candidates were read from it already
+    return found
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p9_fill, p10_found)}
 
 ORACLE = {
     "p1_found": """
