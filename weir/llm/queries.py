@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.functions.blanks import phone_digits, says_something
+from weir.llm.addresses import same_building
 from weir.llm.components import connected_sets, pair_links, star_links
+from weir.llm.matching import cascade, rule_confidence, with_keys
 from weir.llm.packing import items_of, pack
 from weir.llm.spans import SpanIndex, shared_spans
+from weir.llm.survivor import survivors
 from weir.llm.tokenize import documents_with_ids, with_token_count
 from weir.scratch import Scratch
 from weir.sources.tables import table
@@ -60,9 +64,93 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p9_fill, p10_found)}
+#: Fields of search_providers that lead groups keep.
+SURVIVING = ["name", "address_line1", "phone", "official_phone"]
+
+
+def group_values(spark: SparkSession, sf: str) -> DataFrame:
+    """(g, f, member, value, rank, trust): what the members of groups of two or more say, the best first by rank.
+
+    The most trusted relationship comes first, then the latest update, then the smallest NPI.
+    """
+    trust = table(spark, sf, "relationship_trust").groupBy("relationship_type").agg(F.min("trust_rank").alias("trust"))
+    rows = table(spark, sf, "lead_group_members").select(F.col("group_id").alias("g"), F.nullif(F.trim("npi"), F.lit("")).alias("member"), "relationship_type")
+    members = rows.join(trust, "relationship_type", "left").groupBy("g", "member").agg(F.min(F.coalesce("trust", F.lit(99999999))).alias("trust")).dropna(subset=["g", "member"])
+    many = members.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    values = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("value")) for c in SURVIVING])
+    told = table(spark, sf, "search_providers").select(F.trim("npi").alias("member"), F.nullif(F.trim("last_updated"), F.lit("")).alias("at"), F.explode(values).alias("v"))
+    told = told.select("member", "at", F.col("v.f").alias("f"), F.col("v.value").alias("value"))
+    is_phone = F.col("f").isin("phone", "official_phone")
+    said = told.filter(says_something(F.col("value")) & (~is_phone | phone_digits(F.col("value")).isNotNull())).distinct()
+    newest_first = F.coalesce(F.translate("at", "0123456789", "9876543210"), F.lit("~"))
+    rank = F.concat_ws("|", F.lpad(F.col("trust").cast("string"), 8, "0"), F.rpad(newest_first, 10, "~"), "member")
+    return members.join(many, "g", "left_semi").join(said, "member").select("g", "f", "member", "value", rank.alias("rank"), "trust")
+
+
+def value_tokens():
+    """A phone is one token, anything else its words."""
+    words = F.regexp_extract_all(F.upper("value"), F.lit(r"([\\p{L}\\p{N}]+)"), 1)
+    return F.when(F.col("f").isin("phone", "official_phone"), F.array(phone_digits(F.col("value")))).otherwise(F.when(F.size(words) > 0, words).otherwise(F.array("value")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The member whose value survives, for each group and field."""
+    best = survivors(group_values(spark, sf), Scratch(spark, "survivors"), tokens=value_tokens())
+    return best.select(F.col("g").alias("group_id"), F.col("f").alias("field_name"), F.col("member").alias("npi"))
+
+
+def p5_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One record for each group by weighted consensus: trust weighs a value, and the others of its group may outvote it."""
+    best = survivors(group_values(spark, sf), Scratch(spark, "survivors"), tokens=value_tokens(), weight=F.lit(1.0) / (F.lit(1.0) + F.col("trust")))
+    return best.groupBy(F.col("g").alias("group_id")).pivot("f", SURVIVING).agg(F.first("value"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of NPIs whose addresses are in the same building."""
+    rows = table(spark, sf, "search_providers").withColumn("npi", F.nullif(F.trim("npi"), F.lit("")))
+    return same_building(rows, Scratch(spark, "addresses"), id="npi", line="address_line1", city="city", state="state", postal="postal_code")
+
+
+def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry candidate of each sheet lead that has one, the rule that found it, and its confidence."""
+    scratch = Scratch(spark, "matching")
+    rows = table(spark, sf, "pis_to_resolve_recheck").withColumn("candidate_npi", F.nullif(F.trim("candidate_npi"), F.lit("")))
+    lead = F.when(F.col("source_sheet").isNotNull() & F.col("source_row").isNotNull(), F.struct("source_sheet", "source_row"))
+    rows = rows.withColumn("lead", lead)
+    told = rows.select("lead", "company_name", "authorized_person", "source_phone").filter("lead is not null").distinct()
+    listed = rows.select("candidate_npi", "candidate_legal_name", "candidate_authorized_person", "candidate_phone", "candidate_auth_phone").filter("candidate_npi is not null").distinct()
+    leads = scratch.keep(with_keys(told, "company_name", "authorized_person", ["source_phone"]).select("lead", "name_words", "whole", "first", "last", "phones"))
+    candidates = scratch.keep(
+        with_keys(listed, "candidate_legal_name", "candidate_authorized_person", ["candidate_phone", "candidate_auth_phone"]).select("candidate_npi", "name_words", "whole", "first", "last", "phones")
+    )
+    matches = scratch.keep(cascade(leads, candidates, scratch, lead="lead", candidate="candidate_npi"))
+    # what a reviewer noted beside a listed pair: accepted, or none of the three checks passed
+    checks = sum(F.when(F.upper(c) == "TRUE", 1).otherwise(0) for c in ("exact_name", "phone_match", "authorized_person_match"))
+    accepted = F.col("recommendation").startswith("Accept")
+    labels = rows.filter("lead is not null and candidate_npi is not null").select("lead", "candidate_npi", F.when(accepted | (checks >= 2), True).when(checks == 0, False).alias("is_match")).dropna()
+    sure = rule_confidence(matches, labels, lead="lead", candidate="candidate_npi")
+    return matches.join(sure, "rule").select("lead.source_sheet", "lead.source_row", "candidate_npi", "rule", "confidence")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheet leads and the registry candidate that is the same organization."""
+    return p7_matches(spark, sf).select("source_sheet", "source_row", "candidate_npi")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p6_found, p7_found, p7_matches, p9_fill, p10_found)}
 
 ORACLE = {
+    "p5_found": """
+      with m as (select group_id, trim(npi) npi, min(coalesce(trust_rank, 99999999)) trust from lead_group_members left join relationship_trust using (relationship_type) group by all),
+      g as (select * from m where group_id in (select group_id from m group by group_id having count(*) > 1)),
+      s as (select distinct trim(npi) npi, nullif(trim(last_updated), '') upd, f.field_name, f.value from search_providers,
+            lateral (select unnest(['name', 'address_line1', 'phone', 'official_phone']) field_name, unnest([name, address_line1, phone, official_phone]) value) f),
+      w as (select *, upper(regexp_replace(value, '[^\\pL\\pN]+', '', 'g')) core, regexp_replace(regexp_replace(trim(value), '\\.0+$', ''), '[^0-9]', '', 'g') dig from s where value is not null),
+      ok as (select * from w where core not in ('', 'NA', 'NONE', 'NULL', 'NIL', 'UNKNOWN', 'UNK', 'TBD', 'TBA', 'NOTAVAILABLE', 'NOTAPPLICABLE', 'NOTPROVIDED', 'MISSING', 'BLANK', 'PENDING')
+             and not (regexp_matches(core, '^[A-Z][A-Z]+$') and core = repeat(left(core, 1), length(core)))
+             and (field_name not like '%phone' or (regexp_matches(dig, '^1?[0-9]{10}$') and right(dig, 10) <> repeat(right(dig, 1), 10))))
+      select group_id, field_name, npi from g join ok using (npi)
+      qualify row_number() over (partition by group_id, field_name order by trust, upd desc nulls last, npi) = 1""",
     "p1_found": """
       with recursive e as (
         select trim(left_npi) a, trim(right_npi) b from registry_match_candidates
