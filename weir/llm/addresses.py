@@ -132,7 +132,7 @@ PARSED = "id string, number string, direction string, street string, kind string
 def _localities(parsed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """By (state, city spelling), by postal code, and by city spelling alone: the locality 'STATE|city'."""
     counted = parsed.filter("city != '' and state != ''").groupBy("state", "city").agg(F.count("*").alias("n"))
-    cities = scratch.keep(cluster_spellings(counted, "state", "city", "n").withColumn("by_city", F.concat_ws("|", "state", "canonical")))
+    cities = scratch.keep(cluster_spellings(counted, "state", "city", "n", "n").withColumn("by_city", F.concat_ws("|", "state", "canonical")))
     named = parsed.filter("city != '' and state != '' and zip != ''").join(cities, ["state", "city"])
     votes = named.groupBy("zip", "by_city").agg(F.count("*").alias("n"))
     by_zip = votes.groupBy("zip").agg(F.max(F.struct("n", "by_city"))["by_city"].alias("by_zip"))
@@ -157,7 +157,9 @@ def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: s
         placed.select("id", "number", "direction", "street", "kind", F.array_distinct(F.array_compact(F.array(first, F.col("by_zip")))).alias("places")).filter(F.size("places") > 0)
     )
     counted = located.select(F.col("places")[0].alias("locality"), "street").groupBy("locality", "street").agg(F.count("*").alias("n"))
-    streets = cluster_spellings(counted, "locality", "street", "n").withColumnRenamed("canonical", "known")
+    counted = scratch.keep(counted)
+    everywhere = counted.groupBy("street").agg(F.sum("n").alias("g"))
+    streets = cluster_spellings(counted.join(everywhere, "street"), "locality", "street", "n", "g").withColumnRenamed("canonical", "known")
     # a hypothesis for each place; the second counts only if its street is in the gazetteer there
     guesses = located.select("id", "number", "direction", "street", "kind", F.posexplode("places").alias("at", "locality"))
     named = scratch.keep(guesses.join(streets, ["locality", "street"], "left").filter("at = 0 or known is not null").withColumn("street", F.coalesce("known", "street")).drop("known"))
@@ -168,9 +170,13 @@ def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: s
         F.coalesce("variants", F.array().cast("array<struct<n:bigint,direction:string,kind:string>>")),
         lambda v: ((v["direction"] == F.col("direction")) | (F.col("direction") == "")) & ((v["kind"] == F.col("kind")) | (F.col("kind") == "")),
     )
-    fuller = F.filter(may_be, lambda v: ((v["direction"] != "") | (F.col("direction") != "")) & ((v["kind"] != "") | (F.col("kind") != "")))
+    # what the record leaves out is taken from entries that have it, if any do: first the type, then the direction
+    typed = F.filter(may_be, lambda v: (v["kind"] != "") | (F.col("kind") != ""))
+    typed = F.when(F.size(typed) > 0, typed).otherwise(may_be)
+    turned = F.filter(typed, lambda v: (v["direction"] != "") | (F.col("direction") != ""))
+    fuller = F.when(F.size(turned) > 0, turned).otherwise(typed)
     said = F.struct(F.lit(0).cast("bigint").alias("n"), F.col("direction"), F.col("kind"))
-    weighed = joined.withColumn("own", F.slice(F.when(F.size(fuller) > 0, fuller).otherwise(may_be), 1, beam)).withColumn(
+    weighed = joined.withColumn("own", F.slice(fuller, 1, beam)).withColumn(
         "choice",
         F.when(F.size("own") == 0, said)
         .when(F.size("own") == 1, F.col("own")[0])

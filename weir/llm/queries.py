@@ -124,10 +124,11 @@ def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
         with_keys(listed, "candidate_legal_name", "candidate_authorized_person", ["candidate_phone", "candidate_auth_phone"]).select("candidate_npi", "name_words", "whole", "first", "last", "phones")
     )
     matches = scratch.keep(cascade(leads, candidates, scratch, lead="lead", candidate="candidate_npi"))
-    # what a reviewer noted beside a listed pair: accepted, or none of the three checks passed
+    # where a reviewer accepted a listed candidate of a lead, or two of the three checks passed, the others beside it are wrong
     checks = sum(F.when(F.upper(c) == "TRUE", 1).otherwise(0) for c in ("exact_name", "phone_match", "authorized_person_match"))
-    accepted = F.col("recommendation").startswith("Accept")
-    labels = rows.filter("lead is not null and candidate_npi is not null").select("lead", "candidate_npi", F.when(accepted | (checks >= 2), True).when(checks == 0, False).alias("is_match")).dropna()
+    accepted = F.coalesce(F.col("recommendation").startswith("Accept"), F.lit(False)) | (checks >= 2)
+    pairs = rows.filter("lead is not null and candidate_npi is not null").groupBy("lead", "candidate_npi").agg(F.max(accepted).alias("is_match"))
+    labels = pairs.join(pairs.filter("is_match").select("lead").distinct(), "lead", "left_semi")
     sure = rule_confidence(matches, labels, lead="lead", candidate="candidate_npi")
     return matches.join(sure, "rule").select("lead.source_sheet", "lead.source_row", "candidate_npi", "rule", "confidence")
 

@@ -18,18 +18,19 @@ def signatures(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), shorter))
 
 
-def cluster_spellings(entries: DataFrame, scope: str, spelling: str, count: str, *, least: int = 5) -> DataFrame:
+def cluster_spellings(entries: DataFrame, scope: str, spelling: str, count: str, overall: str, *, least: int = 5) -> DataFrame:
     """(scope, spelling, canonical): the commonest spelling that each one leads to in at most three steps.
 
-    entries has a row for each spelling of a scope with its count. Each signature elects its commonest spelling, and each
-    spelling follows the commonest that any of its signatures elected, so that work is in proportion to the letters, not
+    entries has a row for each spelling of a scope with its count there and overall; the commonest is the one with the
+    largest overall count, then the largest in the scope. Each signature elects its commonest spelling, and each spelling
+    follows the commonest that any of its signatures elected, so that work is in proportion to the letters, not
     to pairs. Spellings shorter than `least` or with a digit stand for themselves, as there one character means another
     thing; so do common spellings next to a common one.
     """
-    rows = entries.select(F.col(scope).alias("sc"), F.col(spelling).alias("sp"), F.col(count).alias("n"))
+    rows = entries.select(F.col(scope).alias("sc"), F.col(spelling).alias("sp"), F.col(count).alias("n"), F.col(overall).alias("o"))
     fuzzy = rows.filter((F.length("sp") >= least) & ~F.col("sp").rlike("[0-9]"))
-    signed = fuzzy.select("sc", "sp", "n", F.explode(signatures(F.col("sp"))).alias("g"))
-    elected = signed.groupBy("sc", "g").agg(F.max(F.struct("n", "sp")).alias("best"))
+    signed = fuzzy.select("sc", "sp", "n", "o", F.explode(signatures(F.col("sp"))).alias("g"))
+    elected = signed.groupBy("sc", "g").agg(F.max(F.struct("o", "n", "sp")).alias("best"))
     follows = signed.join(elected, ["sc", "g"]).groupBy("sc", "sp", "n").agg(F.max("best").alias("best"))
     near = (F.col("n") <= RARE) | (F.col("best.n") >= TIMES * F.col("n"))
     step = follows.select("sc", "sp", F.when(near, F.col("best.sp")).otherwise(F.col("sp")).alias("to"))
