@@ -22,20 +22,25 @@ def plausible(events: DataFrame, now: str) -> DataFrame:
     return events.filter((F.col("ts") >= F.lit("2015-01-01").cast("timestamp")) & (F.col("ts") <= F.lit(now).cast("timestamp") + F.expr("interval 1 day")))
 
 
-def once(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Each event once, however often it was delivered within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def watermarked(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Events with the bound on lateness that the operators below need; a stream has one."""
+    return events.withWatermark("ts", late)
 
 
-def windowed_counts(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
+def once(events: DataFrame) -> DataFrame:
+    """Each event of a watermarked stream once, however often it was delivered within the bound."""
+    return events.dropDuplicatesWithinWatermark(["event_id"])
+
+
+def windowed_counts(events: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
     """(start, event_type, n, users): counts by tumbling or sliding window; weeks start on Monday."""
     start = "4 days" if size == "7 days" else "0 seconds"
     window = F.window("ts", size, slide or size, start)
-    counted = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
+    counted = events.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
     return counted.select(F.col("w.start").alias("start"), "event_type", "n", "users")
 
 
-def paired_calls(events: DataFrame, minutes: int = 30, late: str = "1 hour") -> DataFrame:
+def paired_calls(events: DataFrame, minutes: int = 30) -> DataFrame:
     """(user_id, ts): calls ('view') that aren't the first within `minutes` of the person's last dial ('click').
 
     State is one timestamp a person; it goes when the watermark has passed the dial by the limit. Events of a person are
@@ -64,8 +69,7 @@ def paired_calls(events: DataFrame, minutes: int = 30, late: str = "1 hour") ->
             state.remove()
         yield pd.DataFrame({"user_id": [key[0]] * len(kept), "ts": kept})
 
-    grouped = events.withWatermark("ts", late).groupBy("user_id")
-    return grouped.applyInPandasWithState(pair, "user_id bigint, ts timestamp", "dialed bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(pair, "user_id bigint, ts timestamp", "dialed bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_each_batch(path: str, keys: list[str], order: str):
