@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.blanks import says_something
+from weir.functions.blanks import FILLERS, says_something
 from weir.llm.spelling import cluster_spellings
 from weir.scratch import Scratch
 
@@ -102,9 +102,12 @@ def parse_line(line: str | None) -> tuple[str, str, str, str] | None:
 def parse_city(city: str | None) -> str:
     """A city without its state, in small letters, with its first word written out; '' if it says nothing."""
     words = re.findall(r"[a-z]+", (city or "").split(",")[0].lower())
+    core = "".join(words).upper()
+    if core in FILLERS or len(set(core)) < 2:
+        return ""
     if len(words) > 1:
         words[0] = CITY_WORDS.get(words[0], words[0])
-    return "" if words in (["unknown"], ["none"], ["n", "a"], ["na"], ["null"], ["tbd"], ["not", "available"]) or set("".join(words)) == {"x"} else " ".join(words)
+    return " ".join(words)
 
 
 def parse_zip(code: str | None) -> str:

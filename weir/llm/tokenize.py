@@ -38,7 +38,7 @@ def _run(df: DataFrame, text: str, out: str, kind: T.DataType, per_batch, ranks:
     path = rank_file(ranks)
     with open(path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())  # under 1 MB, whatever the corpus
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, out)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, shared.value)
@@ -47,7 +47,7 @@ def _run(df: DataFrame, text: str, out: str, kind: T.DataType, per_batch, ranks:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), per_batch(packed)], names=[*keep, out])
 
     schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out, kind)
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(encode, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(f"__{len(keep)}_text")).mapInArrow(encode, schema)
 
 
 def _lists(packed: list[bytes]) -> pa.Array:
@@ -60,7 +60,7 @@ def _lengths(packed: list[bytes]) -> pa.Array:
 
 
 def with_ids(df: DataFrame, text: str = "text", out: str = "ids", ranks: str | None = None) -> DataFrame:
-    """df with the text column replaced by the list of its token ids, without special tokens.
+    """df with the text column replaced by the list of its token ids, without special tokens; a column called `out` is replaced.
 
     A narrow step: nothing is shuffled, and each row costs its own text. An empty or null text gives an empty list, never
     null. Whole texts are encoded, however long; what a worker remembers of earlier words is bounded and changes no result.
