@@ -95,33 +95,34 @@ def connected_sets(links: DataFrame, label: str = "components") -> DataFrame:
     reached, root = _peel(edges, scratch)
     turns: list[DataFrame] = []
     if reached is not None:
-        peeled = reached.select("v", F.lit(root).alias("p"))
-        turns.append(peeled)
-        edges = scratch.keep(_contract(edges, peeled))
+        edges = scratch.keep(_contract(edges, reached.select("v", F.lit(root).alias("p"))))
     turn = 0
     while not edges.isEmpty():
         turn += 1
         first = edges.groupBy("src").agg(F.min(F.struct(_order("dst", turn, root).alias("o"), F.col("dst").alias("p"))).alias("n"))
         here = F.struct(_order("src", turn, root).alias("o"), F.col("src").alias("p"))
         pointers = scratch.keep(first.select(F.col("src").alias("v"), F.least("n", here)["p"].alias("p")))
-        for _ in range(2):
-            ahead = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            further = scratch.keep(pointers.join(ahead, "p").select("v", F.col("q").alias("p")))
-            scratch.drop(pointers)
-            pointers = further
+        once = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        twice = pointers.select(F.col("v").alias("q"), F.col("p").alias("r"))
+        further = scratch.keep(pointers.join(once, "p").join(twice, "q").select("v", F.col("r").alias("p")))
+        scratch.drop(pointers)
+        pointers = further
         contracted = scratch.keep(_contract(edges, pointers))
         if edges is not all_edges:
             scratch.drop(edges)
         edges = contracted
         turns.append(pointers)
-    if not turns:
+    if reached is None:
         return spark.createDataFrame([], "vertex string, `group` string")
-    labels = turns[-1]
-    for earlier in reversed(turns[:-1]):
-        later = labels.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        moved = earlier.join(later, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
-        labels = moved.unionByName(labels.join(earlier.select("v"), "v", "left_anti"))
-    labels = scratch.keep(labels)
+    # each round's vertices are targets of the round before, so that labels follow from the last round backwards
+    labels = None
+    for pointers in reversed(turns):
+        if labels is not None:
+            later = labels.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            pointers = pointers.join(later, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+        labels = pointers
+    peeled = reached.select("v", F.lit(root).alias("p"))
+    labels = scratch.keep(peeled if labels is None else labels.filter(F.col("v") != root).unionByName(peeled))
     giant, rest = labels.filter(F.col("p") == root), labels.filter(F.col("p") != root)
     least = rest.groupBy("p").agg(F.min("v").alias("group"))
     giant_least = giant.agg(F.min("v").alias("m")).collect()[0]["m"]  # one value
