@@ -158,7 +158,7 @@ def test_spellings(spark):
 
 def keyed(spark, rows, id):
     df = spark.createDataFrame(rows, f"{id} string, n string, a string, p string, q string")
-    return with_keys(df, "n", "a", ["p", "q"]).select(id, "name_words", "whole", "first", "last", "phones")
+    return with_keys(df, "n", "a", ["p", "q"]).select(id, "name_words", "whole", "partial", "first", "last", "phones")
 
 
 def test_cascade(spark):

@@ -55,11 +55,15 @@ def _without_one(words: Column) -> Column:
 
 
 def with_keys(df: DataFrame, name: str, person: str, phones: list[str]) -> DataFrame:
-    """df with name_words, whole (the name in one), person, first, last and phones. What says nothing is null, or no phone."""
+    """df with name_words, whole (the name in one), partial (the name less a word), person, first, last and phones.
+
+    What says nothing is null, or no phone.
+    """
     return (
         df.withColumn("name_words", name_words(F.col(name)))
         .withColumn("name_words", F.when(F.size("name_words") > 0, F.col("name_words")))
         .withColumn("whole", F.array_join("name_words", " "))
+        .withColumn("partial", _without_one(F.col("name_words")))
         .withColumn("person", person_words(F.col(person)))
         .withColumn("first", F.col("person")[0])
         .withColumn("last", F.when(F.size("person") > 1, F.element_at("person", -1)))
@@ -113,7 +117,7 @@ RULES = [
 
 def _side(df: DataFrame, rule: Rule, id: str) -> DataFrame:
     """(id, k0.., whole, first, last) of one side, a row for each combination of the alternatives of the rule's keys."""
-    out = df.withColumn("partial", _without_one(F.col("name_words"))) if "partial" in rule.keys else df
+    out = df
     arrays = {"phones", "partial", "name_words"}
     for i, key in enumerate(rule.keys):
         out = out.withColumn(f"k{i}", F.explode(key)) if key in arrays else out.withColumn(f"k{i}", F.col(key))
