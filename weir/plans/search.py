@@ -9,6 +9,7 @@ from weir.functions import text as X
 from weir.operators import apply as A
 from weir.operators import criteria as C
 from weir.operators import identity as I
+from weir.operators import related as N
 from weir.sources.release import npi_rules
 from weir.sources.tables import table
 
@@ -197,11 +198,58 @@ def plan_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
 
 
+def same_address(spark: SparkSession, sf: str) -> DataFrame:
+    """Providers by how many share their state, city and street line as written, units aside."""
+    rows = providers(spark, sf).select("npi", "state", F.lower(F.trim("city")).alias("city"), X.street_key(F.col("address_line1")).alias("street"))
+    return N.with_key_size(rows, ["state", "city", "street"], "there").groupBy(F.coalesce("there", F.lit(0)).alias("there")).agg(F.count("*").alias("providers"))
+
+
+def related_providers(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to three others of each provider by a phone of at most 6, or an official in a state of at most 8."""
+    rows = providers(spark, sf).select("npi", X.national_number(F.col("phone")).alias("p"), F.nullif(X.official_key(F.col("official_first_name"), F.col("official_last_name")), F.lit("")).alias("o"), "state")
+    rows = rows.withColumn("p", F.when(F.length(F.replace("p", F.left("p", F.lit(1)), F.lit(""))) > 0, F.col("p")))
+    return N.related(rows, "npi", {"phone": (["p"], 6), "owner": (["o", "state"], 8)})
+
+
+def state_specialty(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent taxonomy of each state."""
+    return N.most_common(providers(spark, sf).filter("state is not null"), ["state"], "taxonomy_description")
+
+
+def name_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed candidates whose name equals the lead's, ranked by what else agrees."""
+    rows = table(spark, sf, "pis_to_resolve_recheck").filter("candidate_npi is not null")
+    phone = lambda c: X.national_number(F.col(c))
+    last = lambda c: F.lower(F.element_at(F.split(F.trim(c), " "), -1))
+    pairs = rows.select(
+        "source_sheet", "source_row", "candidate_npi", (X.name_key(F.col("company_name")) == X.name_key(F.col("candidate_legal_name"))).alias("same_name"),
+        F.coalesce((phone("source_phone") == phone("candidate_phone")) | (phone("source_phone") == phone("candidate_auth_phone")), F.lit(False)).alias("same_phone"),
+        F.coalesce(last("authorized_person") == last("candidate_authorized_person"), F.lit(False)).alias("same_person"),
+    ).distinct()
+    one = pairs.groupBy("source_sheet", "source_row", "candidate_npi").agg(F.max("same_name").alias("same_name"), F.max("same_phone").alias("same_phone"), F.max("same_person").alias("same_person"))
+    return N.ranked_candidates(one, ["source_sheet", "source_row"], [F.col("same_name"), F.col("same_phone"), F.col("same_person")], "candidate_npi")
+
+
+def accepted_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheet leads with an accepted candidate, and those that remain, by sheet."""
+    rows = table(spark, sf, "pis_to_resolve_recheck")
+    leads = rows.groupBy("source_sheet", "source_row").agg(F.max(F.col("recommendation") == "Accept candidate").alias("accepted"))
+    return leads.groupBy("source_sheet").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("remaining"))
+
+
+def branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Providers merged into branches by official and phone, else by name and official."""
+    keys = I.latest_keys(table(spark, sf, "npi_identity_keys"))
+    rows = keys.select("npi", F.nullif("name_key", F.lit("")).alias("n"), F.nullif("official_key", F.lit("")).alias("o"), F.get("phones", F.lit(0)).alias("p"))
+    return N.branches_merged(rows, [["o", "p"], ["n", "o"]], "npi")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_page, search_counts, quick_counts, territory_grid, keyword_exclusion, exclusion_audit, keep_set_removable, validation_reasons, check_digits, phone_keys, name_keys, identity_pairs,
         match_build_delta, review_queue, same_owner, duplicate_flags, latest_keys, group_conflicts, delivery_apply, delivery_history, claims_drop, keyset_page, plan_equivalence,
+        same_address, related_providers, state_specialty, name_audit, accepted_split, branches,
     )
 }
 
@@ -254,5 +302,11 @@ ORACLE = {
     "delivery_history": _LAST + " select field_name, case when a is null then 'came' when b is null then 'went' else 'changed' end how, count(*) n from (" + " union all ".join(f"select '{m}' field_name, o.{m} a, n.{m} b from j where o_in and n_in and round(o.{m}, 2) is distinct from round(n.{m}, 2)" for m in MEASURES) + ") group by all union all select 'record_created', 'came', count(*) from j where not o_in having count(*) > 0",
     "claims_drop": _LAST + " select npi, round(o.total_claims, 2) old_claims, round(coalesce(n.total_claims, 0), 2) new_claims, round((1 - coalesce(n.total_claims, 0) / o.total_claims) * 100, 1) drop_pct from j where o_in and n_in and o.total_claims > 0 and coalesce(n.total_claims, 0) < o.total_claims * 0.5",
     "keyset_page": "select distinct left_npi, right_npi from registry_match_candidates where left_npi is not null and right_npi is not null and (left_npi, right_npi) > ('25', '') order by 1, 2 limit 51",
+    "same_address": _P + f", r as (select npi, state, lower(trim(city)) city, (select case when length(k) >= 5 and regexp_matches(k, '[0-9]') then k end from (select trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(address_line1, '')), '#.*$', ''), '\\b({X.UNIT_WORDS})\\b.*$', ''), '[^a-z0-9]+', ' ', 'g')) k)) street from p), c as (select case when state is null or city is null or street is null then 0 else count(*) over (partition by state, city, street) end there from r) select there, count(*) providers from c group by 1",
+    "related_providers": _P + f", r as (select npi, state, nullif(array_to_string(list_filter(string_split({_TEXT('concat_ws(' + chr(39) + ' ' + chr(39) + ', official_first_name, official_last_name)')}, ' '), lambda x: length(x) > 1), ' '), '') o, nullif(regexp_extract(regexp_replace(phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p from p), q as (select *, case when length(replace(p, left(p, 1), '')) > 0 then p end pp from r), a as (select npi, pp k from q where pp is not null), b as (select npi, o || '|' || state k from q where o is not null and state is not null), sa as (select * from a where k in (select k from a group by k having count(*) between 2 and 6)), sb as (select * from b where k in (select k from b group by k having count(*) between 2 and 8)), u as (select x.npi, y.npi other, 'phone' why from sa x join sa y using (k) where x.npi <> y.npi union select x.npi, y.npi, 'owner' from sb x join sb y using (k) where x.npi <> y.npi), m as (select npi, other, array_to_string(list_sort(list(why)), '+') why, count(*) n from u group by 1, 2) select npi, other, why from m qualify row_number() over (partition by npi order by n desc, other) <= 3",
+    "state_specialty": _P + ", c as (select state, taxonomy_description, count(*) n from p where state is not null and taxonomy_description is not null group by 1, 2) select state, taxonomy_description, n from c qualify row_number() over (partition by state order by n desc, taxonomy_description) = 1",
+    "name_audit": f"with r as (select source_sheet, source_row, candidate_npi, array_to_string(list_filter(string_split({_TEXT('company_name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') = array_to_string(list_filter(string_split({_TEXT('candidate_legal_name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') a, nullif(regexp_extract(regexp_replace(source_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') s, nullif(regexp_extract(regexp_replace(candidate_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p, nullif(regexp_extract(regexp_replace(candidate_auth_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') q, coalesce(lower(string_split(trim(authorized_person), ' ')[-1]) = lower(string_split(trim(candidate_authorized_person), ' ')[-1]), false) c from pis_to_resolve_recheck where candidate_npi is not null), g as (select source_sheet, source_row, candidate_npi, bool_or(a) same_name, bool_or(coalesce(s = p or s = q, false)) same_phone, bool_or(c) same_person from r group by all), n as (select *, same_name::int + same_phone::int + same_person::int agreed from g) select *, row_number() over (partition by source_sheet, source_row order by agreed desc, candidate_npi) \"rank\" from n",
+    "accepted_split": "with l as (select source_sheet, source_row, bool_or(recommendation = 'Accept candidate') a from pis_to_resolve_recheck group by all) select source_sheet, count(*) filter (a) accepted, count(*) filter (not a) remaining from l group by 1",
+    "branches": _KEYS.split(",\n  ph as")[0] + ", v as (select npi, nullif(n, '') n, nullif(o, '') o, p[1] p from u), w as (select npi, case when o is not null and p is not null then min(npi) over (partition by o, p) end a, case when n is not null and o is not null then min(npi) over (partition by n, o) end b from v) select npi, coalesce(nullif(a, npi), nullif(b, npi), npi) branch from w",
     "plan_equivalence": "select 0::bigint differences",
 }
