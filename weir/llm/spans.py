@@ -3,8 +3,9 @@
 A window is `span` characters. Of the hashes of its k-grams (k = span / 2) the least is its anchor, which only depends on
 the window's own text, so that equal windows have equal anchors, wherever they stand. Consecutive windows with the same
 anchor form a run, about one for every 50 characters of a text. The index is a log of sorted, immutable tables of runs,
-each written once for a batch of records, bucketed by anchor hash; tables merge-join on it without a shuffle, and are
-compacted into larger ones as they become many.
+each written once for a batch of records, bucketed by anchor hash and by one of a few cells of records, so that an anchor
+that stands in a third of all records is spread over buckets. Tables merge-join on both without being shuffled again, and
+are compacted into larger ones as they become many.
 
 Anchors that stand in several records are candidates. Whether their windows are equal is verified on the texts: a whole
 run at once where it is the same in several records, and window by window at the borders of shared passages. Windows are
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from weir.llm.bits import may_have_partner
 from weir.scratch import Scratch
 
+#: Cells of records that an anchor's runs are spread over.
+CELLS = 8
 #: Characters hashed at once; longer texts and batches are taken in slices, which changes no result.
 SLICE = 1 << 20
 _POS = np.uint64((1 << 21) - 1)
@@ -136,7 +139,7 @@ def _fingerprint(span: int):
 
 
 class SpanIndex:
-    """A log of tables (h, doc, run), each bucketed and sorted by anchor hash, written once and never changed."""
+    """A log of tables (h, cell, doc, run), each bucketed by anchor hash and cell and sorted by both, written once and never changed."""
 
     def __init__(self, spark: SparkSession, folder: str, *, span: int = 200, buckets: int | None = None, fan_out: int = 4):
         if not 2 <= span < 8192:
@@ -147,8 +150,9 @@ class SpanIndex:
 
     def _write(self, rows: DataFrame, level: int) -> str:
         name = f"weir_runs_{uuid.uuid4().hex[:16]}"
-        writer = rows.repartition(self.buckets, "h").write.option("path", f"{self.folder}/{name}")
-        writer.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+        celled = rows.withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(CELLS)).cast("int"))
+        writer = celled.repartition(self.buckets, "h", "cell").write.option("path", f"{self.folder}/{name}")
+        writer.bucketBy(self.buckets, "h", "cell").sortBy("h", "cell").format("parquet").saveAsTable(name)
         self.tables.append((level, name))
         return name
 
@@ -183,21 +187,18 @@ class SpanIndex:
     def candidates(self) -> DataFrame:
         """(h, doc, run): the runs whose anchor stands in at least two records of the whole log.
 
-        Each table gives the least and the greatest record of an anchor; the tables' states merge-join on it. Hashes in
-        one record only, nearly all, end here.
+        The least and the greatest record of each anchor are combined in each bucket, then over cells and tables. Anchors of
+        one record, nearly all, end there; the others merge-join with the tables, cell by cell.
         """
-        states = None
+        hashes = None
         for _, name in self.tables:
-            own = self.spark.table(name).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-            if states is None:
-                states = own
-            else:
-                other = own.select("h", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-                states = states.join(other, "h", "full").select("h", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
-        shared = states.filter("lo < hi").select("h")
+            own = self.spark.table(name).select("h", "doc")
+            hashes = own if hashes is None else hashes.unionByName(own)
+        shared = hashes.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
+        keys = shared.select("h", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
         out = None
         for _, name in self.tables:
-            hit = self.spark.table(name).join(shared, "h")
+            hit = self.spark.table(name).join(keys, ["h", "cell"]).select("h", "doc", "run")
             out = hit if out is None else out.unionByName(hit)
         return out
 
