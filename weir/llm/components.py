@@ -13,6 +13,8 @@ Each step is a written table in the shared folder, so that lost executors cost o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +42,24 @@ def pair_links(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, str | None]:
-    """The vertices reached from the vertex of highest degree, as a written table, and that vertex."""
+    """The vertices reached from the vertex of highest degree, as written tables, and that vertex."""
     top = edges.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).collect()  # one row
     if not top:
         return None, None
     spark, root = edges.sparkSession, top[0]["src"]
-    reached = scratch.keep(spark.createDataFrame([(root,)], "v string"))
-    frontier, total = reached, 1
+    last = scratch.keep(spark.createDataFrame([(root,)], "v string"))
+    levels, total = [last], 1
     while True:
-        seen = edges.join(frontier.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
-        new = scratch.keep(seen.join(reached, "v", "left_anti"))
-        size = new.count()
-        if not size:
-            scratch.drop(new)
-            return reached, root
-        both = scratch.keep(reached.unionByName(new))
-        if frontier is not reached:
-            scratch.drop(frontier)
-        scratch.drop(reached)
-        reached, frontier, total = both, new, total + size
+        # neighbours of a frontier are in it, in the one before, or new
+        new = edges.join(last.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
+        for known in levels[-2:]:
+            new = new.join(known, "v", "left_anti")
+        last = scratch.keep(new)
+        size = last.count()
+        total += size
+        levels.append(last)
         if size < FRONTIER_SHARE * total:
-            return reached, root
+            return reduce(DataFrame.unionByName, levels), root
 
 
 def _order(vertex: str, turn: int, root: str | None) -> Column:

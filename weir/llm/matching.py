@@ -112,6 +112,8 @@ RULES = [
     Rule("last name, name less a word", ("last", "partial"), names=True, persons=True),
     Rule("first name, name less a word", ("first", "partial"), names=True, persons=True),
     Rule("phone, word of the name", ("phones", "name_words"), names=True),
+    Rule("person, word of the name", ("first", "last", "name_words"), names=True),
+    Rule("last name, word of the name", ("last", "name_words"), names=True, persons=True),
 ]
 
 
