@@ -34,11 +34,11 @@ def related(df: DataFrame, id: str, rules: dict[str, tuple[Sequence[str], int]],
     return merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).select(id, "other", "why")
 
 
-def most_common(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, n): the most frequent value of each group, the smallest among equals; nulls don't count."""
-    counted = df.dropna(subset=[value]).groupBy(*by, value).agg(F.count("*").alias("n"))
-    best = counted.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b"))
-    return best.select(*by, F.col("b.v").alias(value), (-F.col("b.m")).alias("n"))
+def most_common(df: DataFrame, by: Sequence[str], value: str, count: str = "n") -> DataFrame:
+    """(by, value, count): the most frequent value of each group, the smallest among equals; nulls don't count."""
+    counted = df.dropna(subset=[value]).groupBy(*by, value).agg(F.count("*").alias("__times"))
+    best = counted.groupBy(*by).agg(F.min(F.struct((-F.col("__times")).alias("m"), F.col(value).alias("v"))).alias("b"))
+    return best.select(*by, F.col("b.v").alias(value), (-F.col("b.m")).alias(count))
 
 
 def ranked_candidates(pairs: DataFrame, lead: Sequence[str], flags: Sequence[Column], candidate: str) -> DataFrame:
