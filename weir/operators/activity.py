@@ -86,10 +86,14 @@ def two_weeks(df: DataFrame, by: str, at: str, now: str) -> DataFrame:
 
 
 def top_with_other(df: DataFrame, by: str, amount: Column, top: int = 5, decimals: int = 2) -> DataFrame:
-    """(label, amount, share): the largest groups, and the sum of the rounded rest as Other; ties go by label. The groups fit one window."""
+    """(label, amount, share): the largest groups, and the sum of the rounded rest as Other; ties go by label.
+
+    The largest come from a top-k and the rest from an aggregate, so that any number of groups will do.
+    """
     groups = df.groupBy(F.col(by).alias("label")).agg(F.round(F.sum(amount), decimals).alias("amount"))
-    ranked = groups.withColumn("n", F.row_number().over(Window.orderBy(F.desc("amount"), "label")))
-    folded = ranked.groupBy(F.when(F.col("n") <= top, F.col("label")).otherwise("Other").alias("label")).agg(F.round(F.sum("amount"), decimals).alias("amount"))
+    largest = groups.orderBy(F.desc("amount"), "label").limit(top)
+    rest = groups.join(largest.select(F.col("label").alias("__top")), F.col("label").eqNullSafe(F.col("__top")), "left_anti").agg(F.lit("Other").alias("label"), F.round(F.sum("amount"), decimals).alias("amount")).filter("amount is not null")
+    folded = largest.unionByName(rest)  # at most top + 1 rows
     return folded.withColumn("share", F.round(F.col("amount") / F.sum("amount").over(Window.partitionBy()), 4))
 
 
