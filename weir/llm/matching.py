@@ -1,7 +1,8 @@
 """Matching entities of two tables without a common key, by a cascade of exact joins.
 
 Both sides are reduced to keys: a canonical name, the phones, the person. Each rule joins on a combination of keys, the
-strongest first, and takes a record out of the following ones once it is matched. What a rule's keys leave open (a
+strongest first, and a record leaves the cascade once it is matched: passes of a few rules run one after the other, and
+the records that a pass resolved are anti-joined away before the next. What a rule's keys leave open (a
 misspelt word, an initial) is compared on the joined pairs only. A match carries the confidence of its rule: the share of
 the rule's pairs that labelled pairs confirm, smoothed towards a prior where there are few of them.
 
@@ -117,14 +118,21 @@ RULES = [
 ]
 
 
-def _side(df: DataFrame, rule: Rule, id: str) -> DataFrame:
-    """(id, k0.., whole, first, last) of one side, a row for each combination of the alternatives of the rule's keys."""
-    out = df
-    arrays = {"phones", "partial", "name_words"}
-    for i, key in enumerate(rule.keys):
-        out = out.withColumn(f"k{i}", F.explode(key)) if key in arrays else out.withColumn(f"k{i}", F.col(key))
-    keys = [f"k{i}" for i in range(len(rule.keys))]
-    return out.select(id, *keys, "whole", "first", "last", "all_phones").dropna(subset=keys).dropDuplicates([id, *keys])
+#: How many rules each pass takes; a pass is one join, in which a record goes by the first of its rules that finds any.
+PASSES = (3, 4, 7)
+
+
+def _side(df: DataFrame, rules: list[tuple[int, Rule]], id: str) -> DataFrame:
+    """(id, rule_no, key, whole, first, last, all_phones) of one side, a row for each combination of the alternatives of a rule's keys."""
+    arrays, out = {"phones", "partial", "name_words"}, None
+    for number, rule in rules:
+        rows = df
+        for i, key in enumerate(rule.keys):
+            rows = rows.withColumn(f"k{i}", F.explode(key)) if key in arrays else rows.withColumn(f"k{i}", F.col(key))
+        keys = [f"k{i}" for i in range(len(rule.keys))]
+        rows = rows.dropna(subset=keys).select(id, F.lit(number).alias("rule_no"), F.concat_ws("|", *keys).alias("key"), "whole", "first", "last", "all_phones")
+        out = rows if out is None else out.unionByName(rows)
+    return out.dropDuplicates([id, "rule_no", "key"])
 
 
 def cascade(leads: DataFrame, candidates: DataFrame, scratch: Scratch, *, lead: str, candidate: str, rules: list[Rule] = RULES) -> DataFrame:
@@ -137,21 +145,21 @@ def cascade(leads: DataFrame, candidates: DataFrame, scratch: Scratch, *, lead:
     """
     people = candidates.withColumn("all_phones", F.col("phones"))
     open_leads = leads.withColumn("all_phones", F.col("phones"))
-    found: DataFrame | None = None
-    for rule in rules:
-        keys = [f"k{i}" for i in range(len(rule.keys))]
-        left = _side(open_leads, rule, lead)
-        right = _side(people, rule, candidate).withColumnsRenamed({"whole": "c_whole", "first": "c_first", "last": "c_last", "all_phones": "c_phones"})
-        pairs = left.join(right, keys)
-        if rule.names:
-            pairs = pairs.filter(names_agree("whole", "c_whole"))
-        if rule.persons:
-            pairs = pairs.filter(persons_agree("", "c"))
-        agreeing = (
-            F.when(F.arrays_overlap("all_phones", "c_phones"), 1).otherwise(0) + F.when(persons_agree("", "c"), 1).otherwise(0) + F.when(names_agree("whole", "c_whole"), 1).otherwise(0)
-        )
-        order = F.struct((-agreeing).alias("a"), F.coalesce(F.levenshtein("whole", "c_whole"), F.lit(999)).alias("d"), F.col(candidate))
-        best = scratch.keep(pairs.groupBy(lead).agg(F.min(order)[candidate].alias(candidate)).withColumn("rule", F.lit(rule.name)))
+    numbered, found = list(enumerate(rules)), None
+    sizes = [*PASSES[: -1], len(rules)]
+    for size in sizes:
+        now, numbered = numbered[:size], numbered[size:]
+        if not now:
+            break
+        left = _side(open_leads, now, lead)
+        right = _side(people, now, candidate).withColumnsRenamed({"whole": "c_whole", "first": "c_first", "last": "c_last", "all_phones": "c_phones"})
+        names, persons = names_agree("whole", "c_whole"), persons_agree("", "c")
+        needs = lambda what: F.col("rule_no").isin([n for n, r in now if getattr(r, what)] or [-1])
+        pairs = left.join(right, ["rule_no", "key"]).filter((~needs("names") | names) & (~needs("persons") | persons))
+        agreeing = F.when(F.arrays_overlap("all_phones", "c_phones"), 1).otherwise(0) + F.when(persons, 1).otherwise(0) + F.when(names, 1).otherwise(0)
+        order = F.struct("rule_no", (-agreeing).alias("a"), F.coalesce(F.levenshtein("whole", "c_whole"), F.lit(999)).alias("d"), F.col(candidate))
+        label = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("b.rule_no") + 1)
+        best = scratch.keep(pairs.groupBy(lead).agg(F.min(order).alias("b")).select(lead, F.col(f"b.{candidate}").alias(candidate), label.alias("rule")))
         found = best if found is None else found.unionByName(best)
         open_leads = open_leads.join(best, lead, "left_anti")
     return found
