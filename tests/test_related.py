@@ -1,5 +1,7 @@
 """Shared keys, pages of groups, text similarity and merged branches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +33,31 @@ def test_branches_and_modes(spark):
     assert {r.id: r.branch for r in N.branches_merged(df, [["o", "p"], ["n", "o"]], "id").collect()} == {"1": "1", "2": "1", "3": "2", "4": "4"}
     assert [tuple(r) for r in N.most_common(df.withColumn("g", F.lit(1)), ["g"], "n", "times").collect()] == [(1, "m", 2)]
     assert N.with_key_size(df, ["o"], "n_o").filter("n_o = 3").count() == 3
+
+
+def branches_by_brute_force(rows, rules):
+    found = {r["id"]: r["id"] for r in rows}
+    held = [(r["id"], (i, *[r[k] for k in keys])) for r in rows for i, keys in enumerate(rules) if all(r[k] is not None for k in keys)]
+    while True:
+        least = {}
+        for id, key in held:
+            least[key] = min(least.get(key, found[id]), found[id])
+        new = dict(found)
+        for id, key in held:
+            new[id] = min(new[id], least[key])
+        if new == found:
+            return found
+        found = new
+
+
+def test_branches_go_on_through_linked_records(spark):
+    rules = [["o", "p"], ["n", "o"]]
+    merged = lambda rows: {r.id: r.branch for r in N.branches_merged(spark.createDataFrame(rows, "id string, o string, p string, n string"), rules, "id").collect()}
+    assert merged([("1", "o", None, "n"), ("3", "o", "p", "n"), ("5", "o", "p", None)]) == {"1": "1", "3": "1", "5": "1"}
+    assert merged([("1", "o", None, "n"), ("2", "o", "p", None), ("3", "o", "p", "n")]) == {"1": "1", "2": "1", "3": "1"}  # 3 joins what stood apart
+    assert merged([("1", None, "p", "n"), ("2", None, "p", "n"), ("2", "o", None, None)]) == {"1": "1", "2": "2"}
+    rng = random.Random(2)
+    rows = [(f"r{rng.randrange(400):03d}", "o", f"{rng.randrange(260)}", f"{rng.randrange(260)}") for _ in range(200)] + [(f"h{i:03d}", "big", "p", f"n{i}") for i in range(200)]
+    order = rng.sample(range(150), 150)
+    rows += [(f"s{a:03d}", "c", f"{i // 2}", f"{(i + 1) // 2}") for i, a in enumerate(order)] + [(f"t{i:03d}", "d", f"{i // 2}", f"{(i + 1) // 2}") for i in range(150)]
+    assert merged(rows) == branches_by_brute_force([dict(zip("iopn", r)) | {"id": r[0]} for r in rows], rules)

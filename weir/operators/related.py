@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.scratch import Scratch
+
 
 def with_key_size(df: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """df with how many rows share its keys; null where a key is. An aggregate and a join, so that a frequent key isn't one task."""
@@ -103,14 +106,42 @@ def group_pages(df: DataFrame, scope: str, group: str, order: Sequence[str], siz
     return ordered.mapInPandas(fold, f"s string, g {kind}, page int").select(F.col("s").alias(scope), F.col("g").alias(group), "page")
 
 
+def _of_shared_keys(members: DataFrame) -> DataFrame:
+    """Members (k, v) of keys that more than one record has, with the key's least record m."""
+    leaders = members.groupBy("k").agg(F.min("v").alias("m"), F.max("v").alias("most")).filter("m != most").select("k", "m")
+    return members.join(leaders, "k")
+
+
 def branches_merged(df: DataFrame, rules: Sequence[Sequence[str]], id: str) -> DataFrame:
-    """(id, branch): each record joins the smallest id that shares the first rule's keys, else the next rule's, else itself.
+    """(id, branch): each id with the smallest id of its branch; records that share all keys of any one rule are in one branch.
+
+    A branch goes on through any number of records and rules, in whatever order they come. A rule with a null among its
+    keys says nothing of that row. Rows of one id add their keys together; the id has one row in the result.
 
-    One pass over each rule: the leader of a key is the least id that holds it. This is the order-free form of merging
-    branches one after the other; chains through several records are left to connected sets.
+    The members of a key point to its least record, pointers are followed to their ends in steps that double, and records
+    contract onto those, until no key has two. Each step is a written table. A frequent key is reduced by an aggregate
+    before the shuffle; joins on it are left to adaptive skew handling.
     """
-    out = df.withColumn("__branch", F.lit(None).cast(df.schema[id].dataType))
-    for i, keys in enumerate(rules):
-        leader = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.min(id).alias(f"__l{i}"))
-        out = out.join(leader, list(keys), "left").withColumn("__branch", F.coalesce("__branch", F.when(F.col(f"__l{i}") != F.col(id), F.col(f"__l{i}")))).drop(f"__l{i}")
-    return out.select(id, F.coalesce("__branch", id).alias("branch"))
+    scratch = Scratch(df.sparkSession, "branches")
+    rows = scratch.keep(df.select(id, *dict.fromkeys(k for keys in rules for k in keys)).distinct())
+    keyed = [
+        rows.dropna(subset=[id, *keys]).select(F.array(F.lit(str(i)), *[F.col(k).cast("string") for k in keys]).alias("k"), F.col(id).alias("v")) for i, keys in enumerate(rules)
+    ]
+    linked, labels = scratch.keep(_of_shared_keys(reduce(DataFrame.unionByName, keyed).distinct())), None
+    while not linked.isEmpty():
+        pointers = scratch.keep(linked.groupBy("v").agg(F.min("m").alias("p")))
+        onward = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        while not onward.join(pointers.select(F.col("v").alias("q"), F.col("p").alias("r")), "q").filter("q != r").isEmpty():
+            further = scratch.keep(pointers.join(onward, "p").select("v", F.col("q").alias("p")))
+            scratch.drop(pointers)
+            pointers = further
+            onward = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        contracted = scratch.keep(_of_shared_keys(linked.join(pointers, "v").select("k", F.col("p").alias("v")).distinct()))
+        scratch.drop(linked)
+        linked = contracted
+        # later rounds only move what the first ones point to
+        labels = pointers if labels is None else labels.join(onward, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+    ids = rows.select(id).distinct()
+    if labels is None:
+        return ids.withColumn("branch", F.col(id))
+    return ids.join(labels.select(F.col("v").alias(id), F.col("p").alias("branch")), id, "left").select(id, F.coalesce("branch", id).alias("branch"))
