@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import related as N
+from weir.plans import search
 
 
 def test_related_respects_caps(spark):
@@ -61,3 +62,14 @@ def test_branches_go_on_through_linked_records(spark):
     order = rng.sample(range(150), 150)
     rows += [(f"s{a:03d}", "c", f"{i // 2}", f"{(i + 1) // 2}") for i, a in enumerate(order)] + [(f"t{i:03d}", "d", f"{i // 2}", f"{(i + 1) // 2}") for i in range(150)]
     assert merged(rows) == branches_by_brute_force([dict(zip("iopn", r)) | {"id": r[0]} for r in rows], rules)
+
+
+def test_branches_by_every_phone(spark, tmp_path):
+    rows = [
+        ("1", "a", "o", ["2", "7"]), ("2", "b", "o", ["3", "7"]), ("3", "c", "o", ["", "4"]), ("4", "d", "o", ["", None, "5"]), ("5", "e", "o", [" ", "4", "4"]),
+        ("6", "f", "o", []), ("7", "g", "o", None), ("8", "h", "", ["7"]),
+    ]
+    keys = spark.createDataFrame(rows, "npi string, name_key string, official_key string, phones array<string>")
+    keys.withColumns({"state_key": F.lit("CA"), "updated_at": F.timestamp_seconds(F.lit(0))}).write.parquet(f"{tmp_path}/npi_identity_keys.parquet")
+    found = {r.npi: r.branch for r in search.branches(spark, str(tmp_path)).collect()}
+    assert found == {"1": "1", "2": "1", "3": "3", "4": "4", "5": "3", "6": "6", "7": "7", "8": "8"}

@@ -240,7 +240,8 @@ def accepted_split(spark: SparkSession, sf: str) -> DataFrame:
 def branches(spark: SparkSession, sf: str) -> DataFrame:
     """Providers merged into branches that share official and phone, or name and official, through any number of records."""
     keys = I.latest_keys(table(spark, sf, "npi_identity_keys"))
-    rows = keys.select("npi", F.nullif("name_key", F.lit("")).alias("n"), F.nullif("official_key", F.lit("")).alias("o"), F.get("phones", F.lit(0)).alias("p"))
+    phones = F.array_distinct(F.filter("phones", lambda p: F.trim(p) != ""))  # a null is no phone either
+    rows = keys.select("npi", F.nullif("name_key", F.lit("")).alias("n"), F.nullif("official_key", F.lit("")).alias("o"), F.explode_outer(phones).alias("p"))
     return N.branches_merged(rows, [["o", "p"], ["n", "o"]], "npi")
 
 
