@@ -163,3 +163,11 @@ def test_satellites_split_by_change_rate(spark, tmp_path):
 def test_canonical_values(spark, field, raw, want):
     df = spark.createDataFrame([(field, raw)], "f string, v string")
     assert df.select(canonical_value(F.col("f"), json_scalar(F.col("v")))).collect()[0][0] == want
+
+
+def test_change_rates_count_keys_exactly(spark):
+    sizes = range(200, 2200, 200)
+    df = spark.createDataFrame([(f"f{n}", f"k{i % n}") for n in sizes for i in range(n * 3 // 2)] + [("f200", None)] * 9, "f string, npi string")
+    got = {r.f: (r["keys"], r.satellite) for r in change_rates(df.filter("npi is not null"), key="npi", attribute="f").collect()}
+    assert got == {f"f{n}": (n, "fast") for n in sizes}  # each exactly on the limit
+    assert {r.f: r["keys"] for r in change_rates(df, key="npi", attribute="f").collect()} == {f"f{n}": n for n in sizes}

@@ -33,14 +33,14 @@ def satellite_rows(changes: DataFrame, value: Column, *, key: str, attribute: st
 def change_rates(changes: DataFrame, *, key: str, attribute: str, fast_from: float = 1.5) -> DataFrame:
     """(attribute, reports, keys, satellite): attributes reported at least fast_from times a key go to the fast satellite.
 
-    One row for each attribute of the schema. Distinct keys are counted by a sketch; the satellite only decides where
-    rows are stored, never what the history says.
+    One row for each attribute of the schema. Distinct keys are counted exactly, as a rate may lie on the limit; a null
+    key is none. The satellite only decides where rows are stored, never what the history says.
     """
     rate = F.col("reports") / F.greatest(F.col("keys"), F.lit(1))
     return (
         changes.filter(F.col(attribute).isNotNull())
         .groupBy(attribute)
-        .agg(F.count("*").alias("reports"), F.approx_count_distinct(key).alias("keys"))
+        .agg(F.count("*").alias("reports"), F.count_distinct(key).alias("keys"))
         .withColumn("satellite", F.when(rate >= fast_from, FAST).otherwise(SLOW))
     )
 
