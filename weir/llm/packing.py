@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with items of varying length.
 
 The global histogram of lengths, which has as many bins as the capacity has units, is all the planner sees. Dynamic
-programming splits it into buckets of least padding. Batches form inside each bucket under the token budget, and what
-room they leave is closed with items of the buckets below. The plan lists, for each length, runs of ranks and the
+programming splits it into buckets of least padding, which only label the containers: batches are filled by longest-fit
+over all lengths, as ones that stay inside their bucket leave much more room empty. The plan lists, for each length, runs of ranks and the
 containers that they go to, so that items only need their rank among those of equal length.
 """
 
@@ -59,8 +59,8 @@ def length_buckets(histogram: np.ndarray, buckets: int) -> list[int]:
 def plan_containers(histogram: np.ndarray, capacity: int, bounds: list[int]) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, container, items a container, bucket bound) for all items, and the number of containers.
 
-    From the bucket with the longest items down: a container starts with the longest item left, takes the longest that
-    still fits of its own bucket until none does, then goes on with the buckets below. As many equal containers as the
+    A container starts with the longest item left and takes the longest that still fits until none does. bounds have no
+    part in that; the bucket of the longest item is the container's label. As many equal containers as the
     histogram allows are made at once, which uses up a length each time, so that there are about as many runs as lengths.
     """
     left = histogram.astype(np.int64).copy()
