@@ -146,8 +146,8 @@ def _localities(parsed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: str, state: str, postal: str, beam: int = 4) -> DataFrame:
     """(id, locality, street, number, direction, kind): the gazetteer entry of every record whose address line says something.
 
-    beam is how many hypotheses for locality, street and variant of a record are weighed at the end; the ones left out are
-    those with the least support. A record that leaves out its direction or street type is resolved to the entry there
+    beam is how many variants of a building are kept, those with the most support; only two are read, so that 2 or more
+    give the same. The street has one hypothesis for each locality, its cluster's spelling. A record that leaves out its direction or street type is resolved to the entry there
     that has twice the support of any other it may mean; otherwise it keeps what it says.
     """
     rows = records.filter(says_something(F.col(line)) & F.col(id).isNotNull())
