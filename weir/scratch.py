@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -49,6 +50,12 @@ class Scratch:
         kept._weir_path = at  # noqa: SLF001
         return kept
 
+    def keep_counted(self, df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
+        """keep(), and how many rows there are (of which `of` holds), counted by the tasks that write them."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count_if(F.lit(True) if of is None else of).alias("n")))
+        return kept, seen.get["n"]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables of keep() that nothing reads any more."""
         for table in tables:
