@@ -66,7 +66,7 @@ def test_links_of_groups_and_pairs(spark):
     assert [tuple(r) for r in pairs.collect()] == [("1", "2")]
 
 
-@pytest.mark.parametrize("share", [0.0, 2.0])
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 2.0])
 def test_peeling_may_stop_anywhere(spark, monkeypatch, share):
     monkeypatch.setattr(K, "FRONTIER_SHARE", share)
     links = [("m", f"a{i}") for i in range(20)] + [(f"a{i}", f"b{i}") for i in range(20)] + [(f"b{i}", f"c{i}") for i in range(5)] + [("x", "y")]
@@ -190,7 +190,7 @@ def test_names_and_persons(spark):
     assert [r[0] for r in df.select(names_agree("x", "y")).collect()] == [True, True, False]
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n != "p7_matches"])
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     rows = df.collect()

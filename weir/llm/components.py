@@ -1,12 +1,12 @@
 """Consolidating pairwise matches into groups, over an edge table of any size.
 
 1. The giant component is peeled: breadth-first joins walk from the vertex of highest degree, a frontier at a time, while
-   the frontiers still make up a fair part of what was reached. What was reached collapses into its start vertex.
-2. The other components are labelled by minimum propagation in rounds: each vertex points to the neighbour (or itself)
-   that comes first in an order drawn anew each round, pointers are followed twice, and vertices contract onto their
-   targets. A drawn order keeps chains of pointers short, so that a string of n records takes about log n rounds, and the
-   edges left shrink by a constant factor each round.
-3. The contractions are composed backwards, and each set gets its smallest vertex.
+   the frontiers still make up a fair part of what was reached. The vertices behind the last frontier are anti-joined
+   away; none of them touches a vertex that wasn't reached.
+2. The remaining small components, and what hangs on the last frontier, are labelled by minimum propagation: each vertex
+   takes the least of itself and its neighbours, least vertices are followed to their ends by doubling, and vertices
+   contract onto them, until no edge is left. The end of a vertex is the least vertex of its component.
+3. A component that holds a vertex of the last frontier belongs to the giant.
 
 Each step is a written table in the shared folder, so that lost executors cost only their own tasks.
 """
@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.scratch import Scratch
 
-#: A frontier below this share of the vertices reached ends the peeling; the rest of that component is left to the rounds.
+#: A frontier below this share of the vertices reached ends the peeling, so that a long tail of the giant doesn't cost a
+#: join a step; minimum propagation labels what hangs on it.
 FRONTIER_SHARE = 0.05
 
 
@@ -41,41 +42,69 @@ def pair_links(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.select(F.trim(F.col(left)).alias("a"), F.trim(F.col(right)).alias("b")).filter("a != '' and b != '' and a != b")
 
 
-def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, str | None]:
-    """The vertices reached from the vertex of highest degree, as written tables, and that vertex."""
+def _peel(edges: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], int]:
+    """The levels reached from the vertex of highest degree, as written tables, and the size of the last, which may be 0."""
     top = edges.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).collect()  # one row
     if not top:
-        return None, None
-    spark, root = edges.sparkSession, top[0]["src"]
-    last = scratch.keep(spark.createDataFrame([(root,)], "v string"))
-    levels, total = [last], 1
-    while True:
+        return [], 0
+    last, size = scratch.keep_counted(edges.sparkSession.createDataFrame([(top[0]["src"],)], "v string"))
+    levels, total = [last], size
+    while size and (len(levels) == 1 or size >= FRONTIER_SHARE * total):
         # neighbours of a frontier are in it, in the one before, or new
         new = edges.join(last.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
         for known in levels[-2:]:
             new = new.join(known, "v", "left_anti")
-        last = scratch.keep(new)
-        size = last.count()
+        last, size = scratch.keep_counted(new)
         total += size
         levels.append(last)
-        if size < FRONTIER_SHARE * total:
-            return reduce(DataFrame.unionByName, levels), root
-
-
-def _order(vertex: str, turn: int, root: str | None) -> Column:
-    """A vertex's place in this round's order. The peeled component's vertex is always first, so that it stays its label."""
-    drawn = F.xxhash64(F.lit(turn), F.col(vertex))
-    return drawn if root is None else F.when(F.col(vertex) == root, F.lit(-(2**63))).otherwise(drawn)
+    return levels, size
+
+
+def _least_ends(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, p): the end of each vertex's chain of least neighbours. A step follows four pointers of the one before."""
+    least = edges.groupBy("src").agg(F.min("dst").alias("n"))
+    pointers = scratch.keep(least.select(F.col("src").alias("v"), F.least("n", "src").alias("p")))
+    moved = 1
+    while moved:
+        on = lambda a, b: pointers.select(F.col("v").alias(a), F.col("p").alias(b))
+        ahead = pointers.join(on("p", "q"), "p").join(on("q", "r"), "q").join(on("r", "s"), "r")
+        further, moved = scratch.keep_counted(ahead.select("v", F.col("s").alias("p"), (F.col("s") != F.col("r")).alias("moved")), F.col("moved"))
+        scratch.drop(pointers)
+        pointers = further.select("v", "p")
+        pointers._weir_path = further._weir_path  # noqa: SLF001
+    return pointers
 
 
 def _contract(edges: DataFrame, pointers: DataFrame) -> DataFrame:
-    """Edges between the pointers' targets, without those inside one; a vertex without a pointer stays."""
+    """Edges between the pointers' targets, without those inside one."""
     to = lambda side: pointers.select(F.col("v").alias(side), F.col("p").alias(f"new_{side}"))
-    moved = edges.join(to("src"), "src", "left").join(to("dst"), "dst", "left")
-    new = moved.select(F.coalesce("new_src", "src").alias("src"), F.coalesce("new_dst", "dst").alias("dst"))
+    new = edges.join(to("src"), "src").join(to("dst"), "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
     return new.filter("src != dst").distinct()
 
 
+def least_labels(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(v, p): each vertex of edges, which run both ways, with the least vertex of its component; None without edges.
+
+    A contraction keeps the local minima only, which are at most half of the vertices of a component that isn't a star
+    around its largest vertex, and that one is settled in the round after. A sorted string of n records takes one round of
+    about log n steps. edges is dropped from scratch.
+    """
+    turns: list[DataFrame] = []
+    left = 1
+    while left:
+        pointers = _least_ends(edges, scratch)
+        contracted, left = scratch.keep_counted(_contract(edges, pointers))
+        scratch.drop(edges)
+        edges = contracted
+        turns.append(pointers)
+    # each round's vertices are targets of the round before, so that labels follow from the last round backwards
+    labels = turns.pop()
+    for pointers in reversed(turns):
+        later = labels.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        labels = pointers.join(later, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+    return labels
+
+
 def connected_sets(links: DataFrame, label: str = "components") -> DataFrame:
     """(vertex, group): each vertex of links (a, b) with the smallest vertex (by code point) that any number of links reaches.
 
@@ -84,45 +113,28 @@ def connected_sets(links: DataFrame, label: str = "components") -> DataFrame:
 
     A vertex that a third of all links touch is reduced by partial aggregation where neighbours are compared, and joins
     on it are left to the skew handling of adaptive execution; if it is the one of highest degree it is peeled first.
-    The set that grew from the peeled vertex, which may hold most vertices, gets its group from an aggregate, without a
-    join on its label.
+    The giant, which may hold most vertices, gets its group from an aggregate, without a join on its label.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, label)
     one = links.select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst")).filter("src is not null and dst is not null and src != dst")
-    edges = all_edges = scratch.keep(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    reached, root = _peel(edges, scratch)
-    turns: list[DataFrame] = []
-    if reached is not None:
-        edges = scratch.keep(_contract(edges, reached.select("v", F.lit(root).alias("p"))))
-    turn = 0
-    while not edges.isEmpty():
-        turn += 1
-        first = edges.groupBy("src").agg(F.min(F.struct(_order("dst", turn, root).alias("o"), F.col("dst").alias("p"))).alias("n"))
-        here = F.struct(_order("src", turn, root).alias("o"), F.col("src").alias("p"))
-        pointers = scratch.keep(first.select(F.col("src").alias("v"), F.least("n", here)["p"].alias("p")))
-        once = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        twice = pointers.select(F.col("v").alias("q"), F.col("p").alias("r"))
-        further = scratch.keep(pointers.join(once, "p").join(twice, "q").select("v", F.col("r").alias("p")))
-        scratch.drop(pointers)
-        pointers = further
-        contracted = scratch.keep(_contract(edges, pointers))
-        if edges is not all_edges:
-            scratch.drop(edges)
-        edges = contracted
-        turns.append(pointers)
-    if reached is None:
+    edges = scratch.keep(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    levels, rim = _peel(edges, scratch)
+    if not levels:
         return spark.createDataFrame([], "vertex string, `group` string")
-    # each round's vertices are targets of the round before, so that labels follow from the last round backwards
-    labels = None
-    for pointers in reversed(turns):
-        if labels is not None:
-            later = labels.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            pointers = pointers.join(later, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
-        labels = pointers
-    peeled = reached.select("v", F.lit(root).alias("p"))
-    labels = scratch.keep(peeled if labels is None else labels.filter(F.col("v") != root).unionByName(peeled))
-    giant, rest = labels.filter(F.col("p") == root), labels.filter(F.col("p") != root)
-    least = rest.groupBy("p").agg(F.min("v").alias("group"))
-    giant_least = giant.agg(F.min("v").alias("m")).collect()[0]["m"]  # one value
-    return rest.join(least, "p").select(F.col("v").alias("vertex"), "group").unionByName(giant.select(F.col("v").alias("vertex"), F.lit(giant_least).alias("group")))
+    inner = reduce(DataFrame.unionByName, levels[:-1])
+    away = lambda side: inner.withColumnRenamed("v", side)
+    rest, left = scratch.keep_counted(edges.join(away("src"), "src", "left_anti").join(away("dst"), "dst", "left_anti"))
+    scratch.drop(edges)
+    giant = reduce(DataFrame.unionByName, levels)
+    apart = None
+    if left:
+        apart = least_labels(rest, scratch)
+        if rim:  # what hangs on the last frontier is of the giant
+            apart = scratch.keep(apart)
+            hanging = apart.join(levels[-1], "v", "left_semi").select("p").distinct()
+            giant = giant.unionByName(apart.join(hanging, "p", "left_semi").select("v")).distinct()
+            apart = apart.join(hanging, "p", "left_anti")
+    least = giant.agg(F.min("v").alias("m")).collect()[0]["m"]  # one value
+    found = giant.select(F.col("v").alias("vertex"), F.lit(least).alias("group"))
+    return found if apart is None else found.unionByName(apart.select(F.col("v").alias("vertex"), F.col("p").alias("group")))
