@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weir.llm import spans as S
 from weir.llm.bits import may_have_partner
 from weir.llm.bpe import PATTERN, Encoded, Vocabulary, read_ranks
-from weir.llm.packing import histogram_of, items_of, length_buckets, pack, plan_containers
+from weir.llm.packing import histogram_of, items_of, length_buckets, pack, plan_batches, plan_containers
 from weir.llm.tokenize import rank_file, with_ids, with_token_count
 from weir.scratch import Scratch
 
@@ -92,11 +92,12 @@ def test_least_padding_by_brute_force():
                 assert padding(got) == min(padding((*c, used[-1])) for c in combinations(used[:-1], min(k, len(used)) - 1))
 
 
-def test_plan_holds_every_item_once():
+@pytest.mark.parametrize("close", [True, False])
+def test_plan_holds_every_item_once(close):
     rng = np.random.default_rng(1)
     for capacity in (1, 7, 64):
         histogram = np.concatenate([[0], rng.integers(0, 40, capacity)])
-        runs, made = plan_containers(histogram, capacity, length_buckets(histogram, 5))
+        runs, made = plan_containers(histogram, capacity, length_buckets(histogram, 5), close)
         used = np.zeros(made, int)
         for length in range(1, capacity + 1):
             own = runs[runs[:, 0] == length]
@@ -107,6 +108,21 @@ def test_plan_holds_every_item_once():
         assert used.max(initial=0) <= capacity and used.sum() == (histogram * np.arange(capacity + 1)).sum()
 
 
+def test_batches_form_inside_their_buckets():
+    histogram = np.zeros(101, int)
+    histogram[[60, 40, 30, 9, 1]] = [10, 8, 20, 3, 50]
+    bounds = [30, 40, 100]
+    inside = plan_batches(histogram, 100, bounds, close=False)
+    low = dict(zip(bounds, [0, *bounds]))
+    assert all(low[bound] < n <= bound for content, _, bound in inside for n in content)
+    closed = plan_batches(histogram, 100, bounds)
+    # 60s leave 40 and 40s leave 20: the shortest bucket holds as much and fills it, the 40s stay together
+    assert {(60, bound) for content, _, bound in closed if 60 in content} == {(60, 100)}
+    assert sum(times for content, times, _ in closed if content.get(40) == 2) == 4
+    assert sum(times for _, times, _ in closed) < sum(times for _, times, _ in inside)
+    assert plan_batches(np.zeros(5, int), 4, []) == []
+
+
 def packed(spark, lengths, capacity):
     df = spark.createDataFrame(lengths, "k string, n int").withColumn("rank", F.lit("clash")).withColumn("size", F.lit("clash"))
     items = Scratch(spark, "test").keep(items_of(df, "k", "n", capacity))

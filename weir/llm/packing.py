@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity with items of varying length.
 
 The global histogram of lengths, which has as many bins as the capacity has units, is all the planner sees. Dynamic
-programming splits it into buckets of least padding, which only label the containers: batches are filled by longest-fit
-over all lengths, as ones that stay inside their bucket leave much more room empty. The plan lists, for each length, runs of ranks and the
-containers that they go to, so that items only need their rank among those of equal length.
+programming splits it into buckets of least padding. Inside each bucket, batches of at most the capacity form from the
+bucket's own items. As batches of long items leave room that no item of their bucket fits, the shortest buckets, as few as
+hold what the others lack, don't keep their batches but fill that room; closing may be turned off. The plan lists, for each
+length, runs of ranks and the containers that they go to, so that items only need their rank among those of equal length.
 """
 
 from __future__ import annotations
@@ -21,28 +22,31 @@ def length_buckets(histogram: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` length buckets that minimise padding; histogram[n] items have length n.
 
     Padding is what items lack to their bucket's bound. best[j] is the least padding of all lengths up to j; each round
-    of the recurrence allows one bucket more and is vectorised over the bound before.
+    of the recurrence allows one bucket more. A bucket's lower end never moves back as its upper end grows, so that each
+    half of the ends is searched inside what its middle found: n log n steps a round, in memory of n.
     """
     used = np.flatnonzero(histogram)
     if not len(used):
         return []
     size = len(histogram)
-    count = np.cumsum(histogram, dtype=np.float64)
-    total = np.cumsum(histogram * np.arange(size), dtype=np.float64)
     bounds = np.concatenate([[0], used])  # only lengths that occur can bound a bucket
-    n, m = len(bounds), count[bounds]
-    t = total[bounds]
-    # cost[i, j]: padding of the bucket (bounds[i], bounds[j]]
-    cost = bounds[None, :] * (m[None, :] - m[:, None]) - (t[None, :] - t[:, None])
-    cost[np.tril_indices(n)] = np.inf
-    best, choices = cost[0].copy(), []
-    best[0] = 0
+    m = np.cumsum(histogram, dtype=np.float64)[bounds]
+    t = np.cumsum(histogram * np.arange(size), dtype=np.float64)[bounds]
+    n = len(bounds)
+    best, choices = bounds * m - t, []  # one bucket
     for _ in range(min(buckets, n - 1) - 1):
-        options = best[:, None] + cost
-        options[0] = cost[0]
-        before = options.argmin(axis=0)
-        after = options[before, np.arange(n)]
-        after[0] = 0
+        after, before = np.zeros(n), np.zeros(n, np.int64)
+        halves = [(1, n - 1, 0, n - 2)]
+        while halves:
+            low, high, first, last = halves.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            padding = best[i] + bounds[j] * (m[j] - m[i]) - (t[j] - t[i])
+            k = int(padding.argmin())
+            after[j], before[j] = padding[k], i[k]
+            halves += [(low, j - 1, first, int(i[k])), (j + 1, high, int(i[k]), last)]
         choices.append(before)
         best = after
     at, out = n - 1, []
@@ -56,39 +60,76 @@ def length_buckets(histogram: np.ndarray, buckets: int) -> list[int]:
     return out[::-1]
 
 
-def plan_containers(histogram: np.ndarray, capacity: int, bounds: list[int]) -> tuple[np.ndarray, int]:
-    """Runs (length, first rank, container, items a container, bucket bound) for all items, and the number of containers.
+Batch = tuple[dict[int, int], int, int]  # how many items of which length, how many such containers, the bucket's bound
+
+
+def _longest_fit(left: np.ndarray, room: int, low: int, high: int) -> dict[int, int]:
+    """What longest-fit takes of the lengths from above low to high: the longest that fits, until none does."""
+    content, length = {}, min(high, room)
+    while length > low:
+        fits = min(room // length, int(left[length]))
+        if fits:
+            content[length] = fits
+            room -= fits * length
+        length = min(length - 1, room)
+    return content
+
+
+def _batches(left: np.ndarray, capacity: int, low: int, high: int, bound: int) -> list[Batch]:
+    """Batches of the lengths from above low to high, which are used up: as many equal ones at once as there are."""
+    out = []
+    for longest in range(high, low, -1):
+        while left[longest]:
+            content = _longest_fit(left, capacity, low, longest)
+            times = min(int(left[n]) // k for n, k in content.items())
+            for n, k in content.items():
+                left[n] -= k * times
+            out.append((content, times, bound))
+    return out
+
 
-    A container starts with the longest item left and takes the longest that still fits until none does. bounds have no
-    part in that; the bucket of the longest item is the container's label. As many equal containers as the
-    histogram allows are made at once, which uses up a length each time, so that there are about as many runs as lengths.
+def plan_batches(histogram: np.ndarray, capacity: int, bounds: list[int], close: bool = True) -> list[Batch]:
+    """The batches of all items: formed inside the buckets, then closed with items of the shortest ones.
+
+    Buckets are taken from the longest down. Those that keep their batches leave room; the others, the fewest shortest
+    ones that hold at least as much, fill it by longest-fit, and batches of their own form from what is left of them.
     """
     left = histogram.astype(np.int64).copy()
-    given = np.zeros_like(left)
-    bound_of = np.zeros(len(left), np.int64)
-    for low, high in zip([0, *bounds], bounds):
-        bound_of[low + 1 : high + 1] = high
+    spans = list(zip([0, *bounds], bounds))
+    inside = [_batches(left, capacity, low, high, high) for low, high in spans]
+    if not close:
+        return [b for batches in reversed(inside) for b in batches]
+    tokens = lambda batch: sum(n * k for n, k in batch[0].items())
+    held = [sum(tokens(b) * b[1] for b in batches) for batches in inside]
+    lacking = [sum((capacity - tokens(b)) * b[1] for b in batches) for batches in inside]
+    fillers = next(s for s in range(len(spans) + 1) if sum(held[:s]) >= sum(lacking[s:]))
+    top = bounds[fillers - 1] if fillers else 0
+    left[: top + 1] = histogram[: top + 1]
+    out = []
+    for content, times, bound in [b for batches in reversed(inside[fillers:]) for b in batches]:
+        room = capacity - sum(n * k for n, k in content.items())
+        while times:
+            more = _longest_fit(left, room, 0, top)
+            some = min([times, *(int(left[n]) // k for n, k in more.items())])
+            for n, k in more.items():
+                left[n] -= k * some
+            out.append((content | more, some, bound))
+            times -= some
+    bound_of = np.repeat(bounds, [high - low for low, high in spans])
+    return out + [(content, times, int(bound_of[max(content) - 1])) for content, times, _ in _batches(left, capacity, 0, top, top)]
+
+
+def plan_containers(histogram: np.ndarray, capacity: int, bounds: list[int], close: bool = True) -> tuple[np.ndarray, int]:
+    """Runs (length, first rank, container, items a container, bucket bound) for all items, and the number of containers.
+
+    A batch uses up a length, or another batch's room, so that there are about as many runs as lengths.
+    """
+    given = np.zeros(len(histogram), np.int64)
     runs, made = [], 0
-    longest = len(left) - 1
-    while True:
-        while longest and not left[longest]:
-            longest -= 1
-        if not longest:
-            break
-        room, content, length = capacity, {}, longest
-        while length:
-            fits = min(room // length, int(left[length]))
-            if fits:
-                content[length] = fits
-                room -= fits * length
-            length = min(length - 1, room)
-            while length and not left[length]:
-                length -= 1
-        times = min(int(left[n]) // k for n, k in content.items())
+    for content, times, bound in plan_batches(histogram, capacity, bounds, close):
         for n, k in content.items():
-            runs.append((n, given[n], made, k, bound_of[longest]))
+            runs.append((n, given[n], made, k, bound))
             given[n] += k * times
-            left[n] -= k * times
         made += times
     return np.array(runs, np.int64).reshape(-1, 5), made
 
@@ -147,17 +188,18 @@ def histogram_of(items: DataFrame, capacity: int) -> np.ndarray:
     return histogram
 
 
-def pack(items: DataFrame, key: str, capacity: int, *, buckets: int = 32, spread: int | None = None) -> DataFrame:
+def pack(items: DataFrame, key: str, capacity: int, *, buckets: int = 32, spread: int | None = None, close: bool = True) -> DataFrame:
     """(key, part, start, size, container_id, bucket): the container of every item of items_of.
 
-    items are read three times (histogram, cells, ranks), so that they should be a written table. The plan has about two
+    items are read three times (histogram, cells, ranks), so that they should be a written table. The plan has a few
     runs for each length, which bounds what the tasks get, whatever the number of items. bucket is the bound of the bucket
-    that the container's longest item is in. Containers are numbered from 0 without gaps, and none is over its capacity.
-    Repeated keys are items of their own; an empty table gives no rows.
+    that the container's longest item, and the batch it was opened for, is of. With close=False each container holds items
+    of its own bucket only. Containers are numbered from 0 without gaps, and none is over its capacity. Repeated keys are
+    items of their own; an empty table gives no rows.
     """
     spark = items.sparkSession
     histogram = histogram_of(items, capacity)
-    runs, _ = plan_containers(histogram, capacity, length_buckets(histogram, buckets))
+    runs, _ = plan_containers(histogram, capacity, length_buckets(histogram, buckets), close)
     spread = spread or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = ranked_by_size(items, key, spread)
     schema = items.select(key, "part", "start", "size").schema.add("container_id", T.LongType()).add("bucket", T.IntegerType())

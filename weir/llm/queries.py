@@ -46,9 +46,14 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers and their fill for each length bucket."""
-    of = p9_containers(spark, sf).groupBy("bucket", "container_id").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
-    return of.groupBy("bucket").agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("used").alias("tokens"), F.sum(CAPACITY - F.col("used")).alias("room"))
+    """Containers and their fill for each length bucket, with batches closed by items of short buckets and without."""
+    items, out = document_items(spark, sf), None
+    for close in (True, False):
+        of = pack(items, "doc_id", CAPACITY, close=close).groupBy("bucket", "container_id").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
+        fill = of.groupBy("bucket").agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("used").alias("tokens"), F.sum(CAPACITY - F.col("used")).alias("room"))
+        fill = fill.withColumn("closed", F.lit(close))
+        out = fill if out is None else out.unionByName(fill)
+    return out
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
