@@ -1,6 +1,7 @@
 """Heavy keys, histories and delivery changes against brute force, and their edge cases."""
 
 import datetime as dt
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weir.functions.canonical import canonical_value, json_scalar
 from weir.operators.buckets import bucket_members
-from weir.operators.history import change_rates, history_view, satellite_rows, write_satellites
+from weir.operators.history import Satellites, change_rates
 from weir.operators.skew import distinct_items_by_key
 from weir.operators.snapshots import snapshot_changes
 
@@ -109,24 +110,29 @@ def test_delivery_changes_like_brute_force(spark):
 HISTORY = "npi string, f string, on string, at timestamp, id string, v string"
 
 
-def versions(spark, rows):
-    kept = satellite_rows(spark.createDataFrame(rows, HISTORY), F.col("v"), key="npi", attribute="f", effective="on", order=["at", "id"])
-    return sorted(((r.npi, r.f, r.value, r.valid_from, r.valid_to) for r in history_view(kept, key="npi", attribute="f", effective="on").collect()), key=str)
+def versions(spark, rows, folder, batches=1):
+    df = spark.createDataFrame(rows, HISTORY)
+    store = Satellites(spark, str(folder), change_rates(df, key="npi", attribute="f"), key="npi", attribute="f", effective="on", order=["at", "id"])
+    for i in range(batches):
+        batch = [r for j, r in enumerate(rows) if j % batches == i]
+        store.load(spark.createDataFrame(batch, HISTORY), F.col("v"))
+    return sorted(((r.npi, r.f, r.value, r.valid_from, r.valid_to) for r in store.view().collect()), key=str)
 
 
-def test_history_versions(spark):
+def test_history_versions(spark, tmp_path):
     rows = [
         ("1", "x", "2024-01-01", DAY, "a", "A"), ("1", "x", "2024-01-02", DAY, "b", "A"), ("1", "x", "2024-01-03", DAY, "c", None), ("1", "x", "2024-01-05", DAY, "d", "A"),
         ("1", "x", "2024-01-05", DAY, "c", "Z"), ("1", "x", "2024-01-05", DAY, "d", "A"), ("1", "y", "2024-01-01", DAY, "e", None),
         (None, "x", "2024-01-01", DAY, "f", "A"), ("1", None, "2024-01-01", DAY, "g", "A"), ("1", "x", None, DAY, "h", "A"),
     ]
-    assert versions(spark, rows) == [
+    assert versions(spark, rows, tmp_path / "a") == [
         ("1", "x", "A", "2024-01-01", "2024-01-03"), ("1", "x", "A", "2024-01-05", "9999-12-31"), ("1", "x", None, "2024-01-03", "2024-01-05"), ("1", "y", None, "2024-01-01", "9999-12-31"),
     ]
-    assert versions(spark, []) == []
+    assert versions(spark, [], tmp_path / "b") == []
 
 
-def test_history_like_brute_force(spark):
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_history_like_brute_force(spark, tmp_path, batches):
     rng = random.Random(8)
     rows = [(str(rng.randrange(5)), rng.choice("xy"), f"2024-01-{rng.randrange(1, 20):02d}", DAY + dt.timedelta(seconds=rng.randrange(50)), f"{i:04d}", rng.choice(["A", "B", None])) for i in range(600)]
     best = {}
@@ -137,7 +143,7 @@ def test_history_like_brute_force(spark):
         if not by[n, f] or by[n, f][-1][1] != v:
             by[n, f].append((on, v))
     want = [(n, f, v, on, vs[i + 1][0] if i + 1 < len(vs) else "9999-12-31") for (n, f), vs in by.items() for i, (on, v) in enumerate(vs)]
-    assert versions(spark, rows) == sorted(want, key=str)
+    assert versions(spark, rows, tmp_path / "s", batches) == sorted(want, key=str)
 
 
 def test_satellites_split_by_change_rate(spark, tmp_path):
@@ -145,9 +151,17 @@ def test_satellites_split_by_change_rate(spark, tmp_path):
     df = spark.createDataFrame(rows, HISTORY)
     rates = change_rates(df, key="npi", attribute="f")
     assert {r.f: r.satellite for r in rates.collect()} == {"fast": "fast", "slow": "slow"}
-    kept = satellite_rows(df, F.col("v"), key="npi", attribute="f", effective="on", order=["at", "id"])
-    write_satellites(kept, rates, str(tmp_path / "s"), attribute="f")
-    assert Counter(r.satellite for r in spark.read.parquet(str(tmp_path / "s")).collect()) == {"fast": 8, "slow": 2}
+    store = Satellites(spark, str(tmp_path / "s"), rates, key="npi", attribute="f", effective="on", order=["at", "id"])
+    store.load(df, F.col("v"))
+    store.load(df, F.col("v"))  # again: nothing is appended
+    again = [("1", "slow", "2024-02-01", DAY, "u", "A"), ("1", "new", "2024-02-01", DAY, "u", "A")]
+    store.load(spark.createDataFrame(again, HISTORY), F.col("v"))
+    stored = lambda n: Counter(r.satellite for r in spark.read.parquet(str(tmp_path / f"s/load={n}")).collect())
+    assert stored(0) == {"fast": 8, "slow": 2} and stored(2) == {"seen": 1, "slow": 1}
+    assert not [f for _, _, files in os.walk(tmp_path / "s/load=1") for f in files if f.endswith(".parquet")]
+    # what only repeated a value is a version once another comes in between
+    store.load(spark.createDataFrame([("1", "slow", "2024-01-15", DAY, "w", "B")], HISTORY), F.col("v"))
+    assert [(r.value, r.valid_from) for r in store.view().filter("npi = '1' and f = 'slow'").orderBy("valid_from").collect()] == [("A", "2024-01-01"), ("B", "2024-01-15"), ("A", "2024-02-01")]
 
 
 @pytest.mark.parametrize(

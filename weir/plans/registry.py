@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from weir.functions.canonical import canonical_value, json_scalar
 from weir.operators.buckets import bucket_members
-from weir.operators.history import change_rates, history_view, satellite_rows
+from weir.operators.history import Satellites, change_rates
 from weir.operators.skew import distinct_items_by_key
 from weir.operators.snapshots import snapshot_changes
+from weir.scratch import Scratch
 from weir.sources.tables import table
 
 #: The largest bucket whose members are still paired with each other.
@@ -39,21 +40,26 @@ def field_reports(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def satellites(spark: SparkSession, sf: str) -> DataFrame:
+def satellites(spark: SparkSession, sf: str) -> Satellites:
+    """The history's satellites: what was reported by its date and what came later, as two loads."""
+    reports = field_reports(spark, sf)
+    rates = change_rates(reports, key="npi", attribute="field_name")
+    store = Satellites(spark, Scratch(spark, "satellites").path, rates, key="npi", attribute="field_name", effective="effective", order=["created_at", "id"])
+    late = F.coalesce(F.date_format("created_at", "yyyy-MM-dd") > F.date_format(F.date_add(F.to_date("effective"), 31), "yyyy-MM-dd"), F.lit(False))
     value = canonical_value(F.col("field_name"), json_scalar(F.col("new_value")))
-    return satellite_rows(field_reports(spark, sf), value, key="npi", attribute="field_name", effective="effective", order=["created_at", "id"])
+    for batch in (reports.filter(~late), reports.filter(late)):
+        store.load(batch, value)
+    return store
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every version of every provider field, with the period in which it held."""
-    return history_view(satellites(spark, sf), key="npi", attribute="field_name", effective="effective").select("npi", "field_name", "valid_from", "valid_to")
+    return satellites(spark, sf).view().select("npi", "field_name", "valid_from", "valid_to")
 
 
 def p3_satellites(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that each field adds to its satellite, and the satellite that its change rate calls for."""
-    rates = change_rates(field_reports(spark, sf), key="npi", attribute="field_name").select("field_name", "satellite")
-    versions = satellites(spark, sf).groupBy("field_name").agg(F.count("*").alias("versions"), F.count("value").alias("versions_with_value"))
-    return versions.join(rates, "field_name")
+    """Versions of each field, and the satellite that its change rate puts them in."""
+    return satellites(spark, sf).view().groupBy("field_name", "satellite").agg(F.count("*").alias("versions"), F.count("value").alias("versions_with_value"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
