@@ -12,7 +12,8 @@ FILLERS = ["NA", "NONE", "NULL", "NIL", "UNKNOWN", "UNK", "TBD", "TBA", "NOTAVAI
 def says_something(value: Column) -> Column:
     """False for null, blank, punctuation only, one repeated letter, and words that stand for a missing value."""
     core = F.upper(F.regexp_replace(value, r"[\W_]+", ""))
-    return F.coalesce((core != "") & ~core.isin(FILLERS) & ~core.rlike(r"^([A-Z])\1+$"), F.lit(False))
+    # one pattern, as each further use of core would replace anew
+    return F.coalesce(~core.rlike(rf"^(?:|{'|'.join(FILLERS)}|([A-Z])\1+)$"), F.lit(False))
 
 
 def phone_digits(value: Column) -> Column:
@@ -22,7 +23,5 @@ def phone_digits(value: Column) -> Column:
     """
     v = F.trim(value)
     plain = F.when(v.rlike(r"^\d(\.\d+)?[eE]\+?\d{1,2}$"), F.format_string("%.0f", F.expr("cast(1 as double)") * v.try_cast("double"))).otherwise(v)
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)\s*(ext|x)\.?\s*\d+\s*$", ""), r"\.0+$", "")
-    digits = F.regexp_replace(plain, r"\D", "")
-    ten = F.when(F.length(digits) == 10, digits).when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
-    return F.when(~ten.rlike(r"^(\d)\1{9}$"), ten)
+    digits = F.regexp_replace(F.regexp_replace(plain, r"(?i)(\.0+)?(\s*(ext|x)\.?\s*\d+\s*)?$", ""), r"\D", "")
+    return F.nullif(F.regexp_extract(digits, r"^1?((?!(\d)\2{9}$)\d{10})$", 1), F.lit(""))
