@@ -174,14 +174,13 @@ def shared_by_brute_force(texts, span):
 
 def shared(spark, texts, span, batches=1, fan_out=4):
     df = spark.createDataFrame(texts, "id bigint, t string").withColumn("doc", F.lit("clash")).withColumn("h", F.lit(1))
-    scratch = Scratch(spark, "test")
-    index = S.SpanIndex(spark, scratch.path, span=span, fan_out=fan_out)
+    index = S.SpanIndex(Scratch(spark, "test"), span=span, fan_out=fan_out)
     for b in range(batches):
-        index.append(df.filter(F.pmod("id", F.lit(batches)) == b), "id", "t")
-    rows = S.shared_spans(index, df, "id", "t", scratch).collect()
+        index.append(df.filter(F.pmod("id", F.lit(batches)) == b), "id", "t", df)
+    rows = index.shared().collect()
     tables = len(index.tables)
     index.drop()
-    return {r.id: r.shared_chars for r in rows}, tables
+    return {r.doc: r.shared_chars for r in rows}, tables
 
 
 def corpus(rng, n, alphabet="abcdefgh é世🙂"):
@@ -240,6 +239,7 @@ def test_equal_windows_have_equal_anchors():
 def test_filter_never_loses_a_partner(spark):
     df = spark.range(5000)
     partners = spark.range(0, 5000, 7).select(F.col("id").alias("p"))
+    assert {r.id for r in may_have_partner(df, "id", partners, "p", 10**6).collect()} >= set(range(0, 5000, 7))
     kept = {r.id for r in may_have_partner(df, "id", partners, "p").collect()}
     assert kept >= set(range(0, 5000, 7)) and len(kept) < 760
     assert may_have_partner(df, "id", partners.limit(0), "p").count() == 0

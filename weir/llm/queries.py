@@ -10,7 +10,7 @@ from weir.llm.addresses import same_building
 from weir.llm.components import connected_sets, pair_links, star_links
 from weir.llm.matching import cascade, rule_confidence, with_keys
 from weir.llm.packing import items_of, pack
-from weir.llm.spans import SpanIndex, shared_spans
+from weir.llm.spans import SpanIndex
 from weir.llm.survivor import survivors
 from weir.llm.tokenize import documents_with_ids, with_token_count
 from weir.scratch import Scratch
@@ -56,17 +56,28 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def shared_in_batches(documents: DataFrame, batches: list[DataFrame]) -> DataFrame:
+    """(doc_id, shared_chars) after the batches of documents arrived one after the other."""
+    index = SpanIndex(Scratch(documents.sparkSession, "spans"), span=SPAN, fan_out=2)
+    for batch in batches:
+        index.append(batch, "doc_id", "text", documents)
+    found = index.shared()
+    index.drop()
+    return found.withColumnRenamed("doc", "doc_id")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a span of 200 characters that also stands in another one, and how many of their characters do."""
     documents = table(spark, sf, "documents").select("doc_id", "text", "created_at", "received_at")
-    scratch = Scratch(spark, "spans")
-    index = SpanIndex(spark, scratch.path, span=SPAN)
     late = F.coalesce(F.col("received_at") > F.col("created_at") + F.expr("interval 2 days"), F.lit(False))
-    for batch in (documents.filter(~late), documents.filter(late)):  # what came in time is history when the rest arrives
-        index.append(batch, "doc_id", "text")
-    found = shared_spans(index, documents, "doc_id", "text", scratch)
-    index.drop()  # candidates were read from it already
-    return found
+    # what came in time is history when the rest arrives
+    return shared_in_batches(documents, [documents.filter(~late), documents.filter(late)])
+
+
+def p10_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from seven deliveries, one for each weekday on which documents were received, with compactions between."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(F.dayofweek("received_at"), F.lit(1)).alias("day"))
+    return shared_in_batches(documents, [documents.filter(F.col("day") == day) for day in range(1, 8)])
 
 
 #: Fields of search_providers that lead groups keep.
@@ -143,7 +154,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_matches(spark, sf).select("source_sheet", "source_row", "candidate_npi")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p6_found, p7_found, p7_matches, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p6_found, p7_found, p7_matches, p9_fill, p10_found, p10_batches)}
 
 ORACLE = {
     "p5_found": """

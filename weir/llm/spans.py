@@ -3,32 +3,36 @@
 A window is `span` characters. Of the hashes of its k-grams (k = span / 2) the least is its anchor, which only depends on
 the window's own text, so that equal windows have equal anchors, wherever they stand. Consecutive windows with the same
 anchor form a run, about one for every 50 characters of a text. The index is a log of sorted, immutable tables of runs,
-each written once for a batch of records, bucketed by anchor hash and by one of a few cells of records, so that an anchor
-that stands in a third of all records is spread over buckets. Tables merge-join on both without being shuffled again, and
-are compacted into larger ones as they become many.
-
-Anchors that stand in several records are candidates. Whether their windows are equal is verified on the texts: a whole
-run at once where it is the same in several records, and window by window at the borders of shared passages. Windows are
-compared by 128 bits of hash. No pair of records is ever formed, so that a passage in a third of all records costs each
-record its own length only.
+each written once for a batch of records, bucketed by anchor hash and by a cell of records, so that an anchor
+that stands in a third of all records is spread over buckets.
+
+1. A new batch is written as a table of its own, and merge-joined with each table of the log, none of which is shuffled
+   again: an anchor of the batch that stands in the log too, or in several records of the batch, is a candidate.
+2. Whether the candidates' windows are equal is verified on the texts: a whole run at once where it is the same in several
+   records, and window by window at the borders of shared passages. Windows are compared by 128 bits of hash. What a batch
+   shares, with itself or with history, is appended to what was found before; nothing is compared a second time.
+3. The log is compacted as its tables become many, bucket by bucket, without a shuffle.
+
+No pair of records is ever formed, so that a passage in a third of all records costs each record its own length only.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.bits import may_have_partner
 from weir.scratch import Scratch
 
-#: Cells of records that an anchor's runs are spread over.
-CELLS = 8
+#: Cells of records that an anchor's runs are spread over: one for so many buckets of a table, and at least the first number.
+CELLS, BUCKETS_A_CELL = 8, 64
 #: Characters hashed at once; longer texts and batches are taken in slices, which changes no result.
 SLICE = 1 << 20
 _POS = np.uint64((1 << 21) - 1)
@@ -141,38 +145,82 @@ def _fingerprint(span: int):
 class SpanIndex:
     """A log of tables (h, cell, doc, run), each bucketed by anchor hash and cell and sorted by both, written once and never changed."""
 
-    def __init__(self, spark: SparkSession, folder: str, *, span: int = 200, buckets: int | None = None, fan_out: int = 4):
+    def __init__(self, scratch: Scratch, *, span: int = 200, buckets: int | None = None, fan_out: int = 4):
         if not 2 <= span < 8192:
             raise ValueError("span must be from 2 to 8191 characters")
-        self.spark, self.folder, self.span, self.fan_out = spark, folder, span, fan_out
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.scratch, self.span, self.fan_out = scratch.spark, scratch, span, fan_out
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.cells = max(CELLS, self.buckets // BUCKETS_A_CELL)
         self.tables: list[tuple[int, str]] = []  # level and name; later batches follow earlier ones
+        self.found: list[DataFrame] = []  # (doc, start, stop), written tables
+        self.key = "bigint"
 
     def _write(self, rows: DataFrame, level: int) -> str:
         name = f"weir_runs_{uuid.uuid4().hex[:16]}"
-        celled = rows.withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(CELLS)).cast("int"))
-        writer = celled.repartition(self.buckets, "h", "cell").write.option("path", f"{self.folder}/{name}")
+        writer = rows.write.option("path", f"{self.scratch.path}/{name}")
         writer.bucketBy(self.buckets, "h", "cell").sortBy("h", "cell").format("parquet").saveAsTable(name)
         self.tables.append((level, name))
         return name
 
-    def append(self, batch: DataFrame, doc: str, text: str) -> None:
-        """Adds the runs of a batch of records as a new table, then compacts what has become too many."""
-        rows = batch.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= self.span))
+    def append(self, batch: DataFrame, doc: str, text: str, records: DataFrame | None = None) -> None:
+        """Adds a batch of records: what it shares with itself and with the log, then its runs, as a new table.
+
+        records has the texts of all that was indexed so far and of the batch; those without a candidate, and others, are
+        passed over. Without it the batch is all there is. Null texts, and texts shorter than a span, share nothing. Records
+        are told apart by `doc`: a repeated row, also in another batch, isn't another record.
+        """
+        rows = self._texts(batch, doc, text)
         schema = T.StructType([T.StructField("h", T.LongType()), rows.schema["doc"], T.StructField("run", T.LongType())])
-        self._write(rows.mapInArrow(_fingerprint(self.span), schema), 0)
+        celled = rows.mapInArrow(_fingerprint(self.span), schema).withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(self.cells)).cast("int"))
+        log = [name for _, name in self.tables]
+        name = self._write(celled.repartition(self.buckets, "h", "cell"), 0)
+        hits, n = self._candidates(name, log)
+        self.key = rows.schema["doc"].dataType.simpleString()
+        if n:
+            texts = self._texts(batch if records is None else records, doc, text)
+            self.found.append(_verified(reduce(DataFrame.unionByName, hits), n, texts, self.span, self.scratch))
+        self.scratch.drop(*hits)
         self.compact()
 
+    def _texts(self, records: DataFrame, doc: str, text: str) -> DataFrame:
+        return records.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= self.span))
+
+    def _celled(self, anchors: DataFrame) -> DataFrame:
+        return anchors.select("h", F.explode(F.sequence(F.lit(0), F.lit(self.cells - 1))).alias("cell"))
+
+    def _candidates(self, name: str, log: list[str]) -> tuple[list[DataFrame], int]:
+        """Tables (h, doc, run) of the new and the log's runs whose anchor the new table shares, and how many they are."""
+        new = self.spark.table(name)
+        anchors = new.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        shared, hits, n = anchors.filter("lo < hi").select("h"), [], 0
+        if log:
+            keys = self._celled(anchors)
+            old = reduce(DataFrame.unionByName, [self.spark.table(t).join(keys, ["h", "cell"], "left_semi").select("h", "doc", "run") for t in log])
+            old, n = self.scratch.keep_counted(old)
+            shared, hits = shared.unionByName(old.select("h")).distinct(), [old]
+        own, m = self.scratch.keep_counted(new.join(self._celled(shared), ["h", "cell"], "left_semi").select("h", "doc", "run"))
+        return [*hits, own], n + m
+
+    def shared(self) -> DataFrame:
+        """(doc, shared_chars) of the records with a span that also stands in another one, in code points as stored.
+
+        Exact: every window that stands in two records was found when the later of their batches came, as both have its
+        anchor in the index. Without records there are no rows.
+        """
+        if not self.found:
+            return self.spark.createDataFrame([], f"doc {self.key}, shared_chars bigint")
+        return covered(reduce(DataFrame.unionByName, self.found))
+
     def compact(self) -> None:
-        """Merges fan_out tables of a level into one of the next, so that a log of n batches has about log n tables."""
+        """Merges fan_out tables of a level into one of the next, so that a log of n batches has about log n tables.
+
+        Tables have the same buckets, so that a task merges its own bucket of each, and rows stay where they are.
+        """
         level = 0
         while level <= max((at for at, _ in self.tables), default=-1):
             own = [name for at, name in self.tables if at == level]
             if len(own) >= self.fan_out:
-                merged = self.spark.table(own[0])
-                for name in own[1:]:
-                    merged = merged.unionByName(self.spark.table(name))
-                self._write(merged, level + 1)
+                self._write(reduce(DataFrame.unionByName, map(self.spark.table, own)), level + 1)
                 self.tables = [t for t in self.tables if t[1] not in own]
                 self.drop(own)
             level += 1
@@ -181,27 +229,9 @@ class SpanIndex:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name in names or [name for _, name in self.tables]:
             self.spark.sql(f"drop table if exists {name}")
-            at = path(f"{self.folder}/{name}")
+            at = path(f"{self.scratch.path}/{name}")
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def candidates(self) -> DataFrame:
-        """(h, doc, run): the runs whose anchor stands in at least two records of the whole log.
-
-        The least and the greatest record of each anchor are combined in each bucket, then over cells and tables. Anchors of
-        one record, nearly all, end there; the others merge-join with the tables, cell by cell.
-        """
-        hashes = None
-        for _, name in self.tables:
-            own = self.spark.table(name).select("h", "doc")
-            hashes = own if hashes is None else hashes.unionByName(own)
-        shared = hashes.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
-        keys = shared.select("h", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
-        out = None
-        for _, name in self.tables:
-            hit = self.spark.table(name).join(keys, ["h", "cell"]).select("h", "doc", "run")
-            out = hit if out is None else out.unionByName(hit)
-        return out
-
 
 def _hash128(texts_codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return tuple(pa.array(Hashes(texts_codes, which).of(start, end).view(np.int64)) for which in (0, 1))
@@ -271,22 +301,13 @@ def covered(intervals: DataFrame, doc: str = "doc") -> DataFrame:
     return lists.select(doc, F.aggregate("all", zero, merge, lambda a: a["chars"]).alias("shared_chars"))
 
 
-def shared_spans(index: SpanIndex, records: DataFrame, doc: str, text: str, scratch: Scratch) -> DataFrame:
-    """(doc, shared_chars) of the records with a span that also stands in another one; records are all that were indexed.
-
-    Exact: every window that stands in two records is found, as both have its anchor in the index. Null texts, and texts
-    shorter than a span, share nothing. Records are told apart by `doc`: a repeated row isn't another record. The text of
-    a record counts in code points, as stored. Without records there are no rows.
-    """
-    spark, span = records.sparkSession, index.span
-    hits = scratch.keep(index.candidates())
-    texts = records.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).filter(F.length("text") >= span)
-    lists = hits.groupBy("doc").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
-    joined = may_have_partner(texts, "doc", hits, "doc").dropDuplicates(["doc"]).join(lists, "doc").select("doc", "text", "runs")
+def _verified(hits: DataFrame, n: int, texts: DataFrame, span: int, scratch: Scratch) -> DataFrame:
+    """(doc, start, stop): spans of the candidate runs that stand in at least two records, as a written table."""
+    lists = hits.groupBy("doc").agg(F.collect_set(F.struct("h", "run")).alias("runs"))
+    joined = may_have_partner(texts, "doc", hits, "doc", n).dropDuplicates(["doc"]).join(lists, "doc").select("doc", "text", "runs")
     key = hits.schema["doc"].dataType
     schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("h", "r1", "r2")), T.StructField("doc", key), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("part", T.StringType())])
     runs = scratch.keep(joined.mapInArrow(_run_texts(span), schema))
-    scratch.drop(hits)
     kinds = scratch.keep(runs.groupBy("h", "r1", "r2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
     same = kinds.filter("lo < hi").select("h", "r1", "r2")
     whole = runs.join(same, ["h", "r1", "r2"], "left_semi").select("doc", F.col("first").alias("start"), (F.col("last") + span).alias("stop"))
@@ -298,4 +319,6 @@ def shared_spans(index: SpanIndex, records: DataFrame, doc: str, text: str, scra
     windows = scratch.keep(borders.mapInArrow(_windows(span), schema))
     twice = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("w1", "w2")
     single = windows.join(twice, ["w1", "w2"], "left_semi").select("doc", "start", (F.col("start") + span).alias("stop"))
-    return covered(whole.unionByName(single)).withColumnRenamed("doc", doc)
+    found = scratch.keep(whole.unionByName(single))
+    scratch.drop(runs, kinds, windows)
+    return found
