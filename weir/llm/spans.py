@@ -145,7 +145,7 @@ def _fingerprint(span: int):
 class SpanIndex:
     """A log of tables (h, cell, doc, run), each bucketed by anchor hash and cell and sorted by both, written once and never changed."""
 
-    def __init__(self, scratch: Scratch, *, span: int = 200, buckets: int | None = None, fan_out: int = 4):
+    def __init__(self, scratch: Scratch, *, span: int = 200, buckets: int | None = None, fan_out: int = 2):
         if not 2 <= span < 8192:
             raise ValueError("span must be from 2 to 8191 characters")
         self.spark, self.scratch, self.span, self.fan_out = scratch.spark, scratch, span, fan_out
@@ -173,7 +173,7 @@ class SpanIndex:
         schema = T.StructType([T.StructField("h", T.LongType()), rows.schema["doc"], T.StructField("run", T.LongType())])
         celled = rows.mapInArrow(_fingerprint(self.span), schema).withColumn("cell", F.pmod(F.xxhash64("doc"), F.lit(self.cells)).cast("int"))
         log = [name for _, name in self.tables]
-        name = self._write(celled.repartition(self.buckets, "h", "cell"), 0)
+        name = self._write(celled.repartition(self.buckets, "h", "cell").distinct(), 0)
         hits, n = self._candidates(name, log)
         self.key = rows.schema["doc"].dataType.simpleString()
         if n:
@@ -214,13 +214,19 @@ class SpanIndex:
     def compact(self) -> None:
         """Merges fan_out tables of a level into one of the next, so that a log of n batches has about log n tables.
 
-        Tables have the same buckets, so that a task merges its own bucket of each, and rows stay where they are.
+        Two tables are merged by an outer join on all columns: both have the same buckets, which is all that the merge needs,
+        so that nothing is shuffled. With a larger fan_out the third table on is.
         """
-        level = 0
+        whole_keys, level = "spark.sql.requireAllClusterKeysForCoPartition", 0
+        before = self.spark.conf.get(whole_keys)
         while level <= max((at for at, _ in self.tables), default=-1):
             own = [name for at, name in self.tables if at == level]
             if len(own) >= self.fan_out:
-                self._write(reduce(DataFrame.unionByName, map(self.spark.table, own)), level + 1)
+                self.spark.conf.set(whole_keys, "false")
+                try:
+                    self._write(reduce(lambda a, b: a.hint("merge").join(b, ["h", "cell", "doc", "run"], "full"), map(self.spark.table, own)), level + 1)
+                finally:
+                    self.spark.conf.set(whole_keys, before)
                 self.tables = [t for t in self.tables if t[1] not in own]
                 self.drop(own)
             level += 1
