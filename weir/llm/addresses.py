@@ -6,7 +6,8 @@
    spellings of streets are clustered within their locality. Its entries are the buildings (locality, street, number)
    with each direction and type that occurs there, and how often.
 3. Every address is resolved by a beam search over it: hypotheses for its locality (by its city, by its postal code) are
-   extended by street and number to entries that don't contradict what the address says, and the best supported stays.
+   extended by streets (what its spelling leads to, and what else its letters may mean there), of which the first `beam`
+   are extended by number to entries that don't contradict what the address says, and the best supported stays.
 4. Records with the same entry mean the same building.
 """
 
@@ -146,9 +147,11 @@ def _localities(parsed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: str, state: str, postal: str, beam: int = 4) -> DataFrame:
     """(id, locality, street, number, direction, kind): the gazetteer entry of every record whose address line says something.
 
-    beam is how many variants of a building are kept, those with the most support; only two are read, so that 2 or more
-    give the same. The street has one hypothesis for each locality, its cluster's spelling. A record that leaves out its direction or street type is resolved to the entry there
-    that has twice the support of any other it may mean; otherwise it keeps what it says.
+    beam is how many hypotheses (street and locality) of an address are looked up by number: first what its spelling leads
+    to, in each of its localities, then the other streets that a misspelling may mean. An entry that other records have
+    goes before one that none has, the likelier street before a less likely one, then the entry with more records. A
+    record that leaves out its direction or street type is resolved to the entry there that has twice the support of any
+    other it may mean; otherwise it keeps what it says.
     """
     rows = records.filter(says_something(F.col(line)) & F.col(id).isNotNull())
     source = rows.select(*[F.col(c).cast("string") for c in (id, line, city, state, postal)]).distinct()
@@ -159,14 +162,20 @@ def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: s
     located = scratch.keep(
         placed.select("id", "number", "direction", "street", "kind", F.array_distinct(F.array_compact(F.array(first, F.col("by_zip")))).alias("places")).filter(F.size("places") > 0)
     )
-    counted = located.select(F.col("places")[0].alias("locality"), "street").groupBy("locality", "street").agg(F.count("*").alias("n"))
+    counted = located.select(F.col("places")[0].alias("locality"), "street", "number").groupBy("locality", "street").agg(F.count("*").alias("n"), (F.min("number") == F.max("number")).alias("once"))
     counted = scratch.keep(counted)
     everywhere = counted.groupBy("street").agg(F.sum("n").alias("g"))
     streets = cluster_spellings(counted.join(everywhere, "street"), "locality", "street", "n", "g").withColumnRenamed("canonical", "known")
-    # a hypothesis for each place; the second counts only if its street is in the gazetteer there
+    # another street may be meant where the spelling is none, or was only ever seen at one number
+    streets = streets.join(counted.select("locality", "street", "once"), ["locality", "street"])
+    streets = streets.withColumn("others", F.when((F.col("known") != F.col("street")) | F.col("once"), F.col("others"))).drop("once")
+    # hypotheses: the streets of each place, the cluster's spelling first; at and turn are their order
     guesses = located.select("id", "number", "direction", "street", "kind", F.posexplode("places").alias("at", "locality"))
-    named = scratch.keep(guesses.join(streets, ["locality", "street"], "left").filter("at = 0 or known is not null").withColumn("street", F.coalesce("known", "street")).drop("known"))
-    entries = named.filter("at = 0").groupBy("locality", "street", "number", "direction", "kind").agg(F.count("*").alias("n"))
+    met = guesses.join(streets, ["locality", "street"], "left").filter("at = 0 or known is not null")
+    may_mean = F.array_distinct(F.concat(F.array(F.coalesce("known", "street")), F.coalesce("others", F.array().cast("array<string>"))))
+    spread = met.select("id", "number", "direction", "kind", "locality", "at", F.posexplode(may_mean).alias("turn", "street"))
+    named = scratch.keep(spread.filter(2 * F.col("turn") + F.col("at") < beam))  # there are two places at most
+    entries = named.filter("at = 0 and turn = 0").groupBy("locality", "street", "number", "direction", "kind").agg(F.count("*").alias("n"))
     buildings = entries.groupBy("locality", "street", "number").agg(F.sort_array(F.collect_list(F.struct("n", "direction", "kind")), asc=False).alias("variants"))
     joined = named.join(buildings, ["locality", "street", "number"], "left")
     may_be = F.filter(
@@ -179,14 +188,15 @@ def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: s
     turned = F.filter(typed, lambda v: (v["direction"] != "") | (F.col("direction") != ""))
     fuller = F.when(F.size(turned) > 0, turned).otherwise(typed)
     said = F.struct(F.lit(0).cast("bigint").alias("n"), F.col("direction"), F.col("kind"))
-    weighed = joined.withColumn("own", F.slice(fuller, 1, beam)).withColumn(
+    weighed = joined.withColumn("own", fuller).withColumn(
         "choice",
         F.when(F.size("own") == 0, said)
         .when(F.size("own") == 1, F.col("own")[0])
         .when(F.get("own", F.lit(0))["n"] >= 2 * F.get("own", F.lit(1))["n"], F.col("own")[0])
         .otherwise(said),
     )
-    support = F.struct((F.aggregate(may_be, F.lit(0).cast("bigint"), lambda a, v: a + v["n"]) - F.when(F.col("at") == 0, 1).otherwise(0)).alias("others"), (-F.col("at")).alias("order"))
+    others = F.aggregate(may_be, F.lit(0).cast("bigint"), lambda a, v: a + v["n"]) - F.when((F.col("at") == 0) & (F.col("turn") == 0), 1).otherwise(0)
+    support = F.struct((others > 0).alias("met"), (-F.col("turn")).alias("turn"), others.alias("others"), (-F.col("at")).alias("order"))
     best = weighed.select("id", F.struct(support.alias("support"), "locality", "street", "number", F.col("choice.direction").alias("direction"), F.col("choice.kind").alias("kind")).alias("h"))
     return best.groupBy("id").agg(F.max("h").alias("h")).select(F.col("id").alias(id), "h.locality", "h.street", "h.number", "h.direction", "h.kind")
 
