@@ -27,17 +27,26 @@ TITLES = ["dr", "md", "mr", "mrs", "ms", "jr", "sr", "owner", "ceo", "president"
 NO_PERSON = ["front desk", "reception", "office", "office manager", "billing", "unknown", "none", "na", "owner"]
 
 
-def name_words(name: Column) -> Column:
-    """Words of an organization's name: without brackets, legal form, article, and a place behind 'of'; abbreviations written out."""
+def all_words(name: Column) -> Column:
+    """Words of an organization's name: without brackets, legal form and article; abbreviations written out."""
     low = F.regexp_replace(F.regexp_replace(F.lower(name), r"\(.*?(\)|$)", " "), r"[.']", "")
     words = F.split(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), " ")
-    place = F.array_position(words, "of")
-    words = F.when(place > 1, F.slice(words, 1, F.greatest(place.cast("int") - 1, F.lit(1)))).otherwise(words)
     full = F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])
     kept = F.filter(words, lambda w: ~w.isin(*LEGAL, "and", "the", ""))
     return F.when(says_something(name), F.transform(kept, lambda w: F.coalesce(F.try_element_at(full, w), w)))
 
 
+def without_place(words: Column) -> Column:
+    """Words of a name without what stands behind its first 'of', if at least two words stand before it."""
+    place = F.array_position(words, "of").cast("int")
+    return F.when(place > 2, F.slice(words, F.lit(1), F.greatest(place - 1, F.lit(1)))).otherwise(F.filter(words, lambda w: w != "of"))
+
+
+def name_words(name: Column) -> Column:
+    """Words of an organization's name as it is matched: all_words without_place."""
+    return without_place(all_words(name))
+
+
 def person_words(person: Column) -> Column:
     """First to last words of a person's name, 'Last, First' turned round, titles dropped; null for what names no person."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(person), r"\(.*?(\)|$)", " "), r"m\.\s*d\.", " ")
@@ -56,12 +65,14 @@ def _without_one(words: Column) -> Column:
 
 
 def with_keys(df: DataFrame, name: str, person: str, phones: list[str]) -> DataFrame:
-    """df with name_words, whole (the name in one), partial (the name less a word), person, first, last and phones.
+    """df with full (all words of the name), name_words, whole (those in one), partial (less a word), person, first, last and phones.
 
     What says nothing is null, or no phone.
     """
     return (
-        df.withColumn("name_words", name_words(F.col(name)))
+        df.withColumn("full", all_words(F.col(name)))
+        .withColumn("name_words", without_place(F.col("full")))
+        .withColumn("full", F.array_join("full", " "))
         .withColumn("name_words", F.when(F.size("name_words") > 0, F.col("name_words")))
         .withColumn("whole", F.array_join("name_words", " "))
         .withColumn("partial", _without_one(F.col("name_words")))
@@ -122,44 +133,55 @@ RULES = [
 PASSES = (3, 4, 7)
 
 
-def _side(df: DataFrame, rules: list[tuple[int, Rule]], id: str) -> DataFrame:
-    """(id, rule_no, key, whole, first, last, all_phones) of one side, a row for each combination of the alternatives of a rule's keys."""
-    arrays, out = {"phones", "partial", "name_words"}, None
+def _keys(rules: list[tuple[int, Rule]]) -> Column:
+    """An array (rule_no, key) of each combination of the alternatives of the rules' keys; what lacks a key has none."""
+    arrays, out = {"phones", "partial", "name_words"}, []
     for number, rule in rules:
-        rows = df
-        for i, key in enumerate(rule.keys):
-            rows = rows.withColumn(f"k{i}", F.explode(key)) if key in arrays else rows.withColumn(f"k{i}", F.col(key))
-        keys = [f"k{i}" for i in range(len(rule.keys))]
-        rows = rows.dropna(subset=keys).select(id, F.lit(number).alias("rule_no"), F.concat_ws("|", *keys).alias("key"), "whole", "first", "last", "all_phones")
-        out = rows if out is None else out.unionByName(rows)
-    return out.dropDuplicates([id, "rule_no", "key"])
+        combined = F.array(F.lit(""))
+        for key in rule.keys:
+            parts = F.array_distinct(key) if key in arrays else F.array(key)
+            combined = F.flatten(F.transform(combined, lambda head: F.transform(parts, lambda part: F.concat(head, F.lit("|"), part))))  # noqa: B023
+        known = F.filter(F.coalesce(combined, F.array().cast("array<string>")), lambda k: k.isNotNull())
+        out.append(F.transform(known, lambda k: F.struct(F.lit(number).alias("rule_no"), k.alias("key"))))  # noqa: B023
+    return F.concat(*out)
+
+
+#: What the joined pairs are compared by.
+EVIDENCE = ["whole", "full", "first", "last", "phones"]
 
 
 def cascade(leads: DataFrame, candidates: DataFrame, scratch: Scratch, *, lead: str, candidate: str, rules: list[Rule] = RULES) -> DataFrame:
     """(lead, candidate, rule): at most one candidate for each lead, by the first rule that finds any.
 
     Of several candidates of the same rule the one with more agreeing evidence wins, then the closest name, then the
-    smallest id. leads and candidates have the columns of with_keys; a candidate may have several rows (other phones).
-    A key that many records share joins with its rare other keys only, and adaptive execution splits what is left.
-    Nulls never join. Empty tables give no rows.
+    closest full name, then the smallest id. leads and candidates have the columns of with_keys; both may have several rows
+    of an id (other phones). Nulls never join. Empty tables give no rows.
+
+    Only keys and ids are joined; a pair of rows that several keys join is one pair with the set of its rules, and fetches
+    what it is compared by once. A key that many records share joins with its rare other keys only, and adaptive execution
+    splits what is left.
     """
-    people = candidates.withColumn("all_phones", F.col("phones"))
-    open_leads = leads.withColumn("all_phones", F.col("phones"))
+    side = lambda df, id, own: df.withColumn(own, F.xxhash64(*[F.col(c) for c in EVIDENCE], "name_words"))
+    open_leads, people = side(leads, lead, "l_row"), side(candidates, candidate, "c_row")
+    told = people.select(candidate, "c_row", *[F.col(c).alias(f"c_{c}") for c in EVIDENCE])
     numbered, found = list(enumerate(rules)), None
-    sizes = [*PASSES[: -1], len(rules)]
-    for size in sizes:
+    for size in [*PASSES[:-1], len(rules)]:
         now, numbered = numbered[:size], numbered[size:]
         if not now:
             break
-        left = _side(open_leads, now, lead)
-        right = _side(people, now, candidate).withColumnsRenamed({"whole": "c_whole", "first": "c_first", "last": "c_last", "all_phones": "c_phones"})
-        names, persons = names_agree("whole", "c_whole"), persons_agree("", "c")
-        needs = lambda what: F.col("rule_no").isin([n for n, r in now if getattr(r, what)] or [-1])
-        pairs = left.join(right, ["rule_no", "key"]).filter((~needs("names") | names) & (~needs("persons") | persons))
-        agreeing = F.when(F.arrays_overlap("all_phones", "c_phones"), 1).otherwise(0) + F.when(persons, 1).otherwise(0) + F.when(names, 1).otherwise(0)
-        order = F.struct("rule_no", (-agreeing).alias("a"), F.coalesce(F.levenshtein("whole", "c_whole"), F.lit(999)).alias("d"), F.col(candidate))
+        left = open_leads.select(lead, "l_row", F.inline(_keys(now)))
+        right = people.select(candidate, "c_row", F.inline(_keys(now)))
+        hits = left.join(right, ["rule_no", "key"]).select(lead, "l_row", candidate, "c_row", "rule_no").repartition(lead, "l_row")
+        pairs = hits.groupBy(lead, "l_row", candidate, "c_row").agg(F.bit_or(F.expr("shiftleft(1L, rule_no)")).alias("rules"))
+        both = pairs.join(open_leads.select(lead, "l_row", *EVIDENCE), [lead, "l_row"]).join(told, [candidate, "c_row"])
+        both = both.withColumn("names", names_agree("whole", "c_whole")).withColumn("persons", persons_agree("", "c"))
+        holds = lambda n, r: (F.col("rules").bitwiseAND(1 << n) != 0) & (F.col("names") if r.names else F.lit(True)) & (F.col("persons") if r.persons else F.lit(True))
+        both = both.withColumn("rule_no", F.coalesce(*[F.when(holds(n, r), F.lit(n)) for n, r in now])).filter("rule_no is not null")
+        agreeing = F.when(F.arrays_overlap("phones", "c_phones"), 1).otherwise(0) + F.when(F.col("persons"), 1).otherwise(0) + F.when(F.col("names"), 1).otherwise(0)
+        far = lambda c: F.coalesce(F.levenshtein(c, f"c_{c}"), F.lit(999)).alias(c)
+        order = F.struct("rule_no", (-agreeing).alias("a"), far("whole"), far("full"), F.col(candidate))
         label = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("b.rule_no") + 1)
-        best = scratch.keep(pairs.groupBy(lead).agg(F.min(order).alias("b")).select(lead, F.col(f"b.{candidate}").alias(candidate), label.alias("rule")))
+        best = scratch.keep(both.groupBy(lead).agg(F.min(order).alias("b")).select(lead, F.col(f"b.{candidate}").alias(candidate), label.alias("rule")))
         found = best if found is None else found.unionByName(best)
         open_leads = open_leads.join(best, lead, "left_anti")
     return found
