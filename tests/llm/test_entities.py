@@ -158,7 +158,7 @@ def test_spellings(spark):
 
 def keyed(spark, rows, id):
     df = spark.createDataFrame(rows, f"{id} string, n string, a string, p string, q string")
-    return with_keys(df, "n", "a", ["p", "q"]).select(id, "name_words", "whole", "partial", "first", "last", "phones")
+    return with_keys(df, "n", "a", ["p", "q"]).select(id, "full", "name_words", "whole", "partial", "first", "last", "phones")
 
 
 def test_cascade(spark):
@@ -184,6 +184,7 @@ def test_names_and_persons(spark):
 
     assert one(name_words, "Stenenter & Fenalbelson Orthotics &") == ["stenenter", "fenalbelson", "orthotics"]
     assert one(name_words, "Ortho Med Svcs L.L.C. of X of Y") == ["orthotics", "medical", "services"]
+    assert one(name_words, "House of Oxygen") == ["house", "oxygen"] and one(name_words, "House of Mobility LLC") == ["house", "mobility"]
     assert one(name_words, "--") is None and one(name_words, None) is None
     assert one(person_words, "RILEY, ANN (OWNER)") == ["ann", "riley"] and one(person_words, "front desk") is None and one(person_words, "Ann Lee M.D.") == ["ann", "lee"]
     df = spark.createDataFrame([("acme home medical", "acme home medical equipment"), ("acme hmoe medical", "acme home medical"), ("acme", "apex")], "x string, y string")

@@ -115,12 +115,24 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("g").alias("group_id"), F.col("f").alias("field_name"), F.col("member").alias("npi"))
 
 
+def trust_weight():
+    """5 for the most trusted relationship down to 1 for the least and for what has no trust; whole numbers add up exactly."""
+    return F.greatest(F.lit(6) - F.col("trust"), F.lit(1)).cast("double")
+
+
 def p5_records(spark: SparkSession, sf: str) -> DataFrame:
     """One record for each group by weighted consensus: trust weighs a value, and the others of its group may outvote it."""
-    best = survivors(group_values(spark, sf), Scratch(spark, "survivors"), tokens=value_tokens(), weight=F.lit(1.0) / (F.lit(1.0) + F.col("trust")))
+    best = survivors(group_values(spark, sf), Scratch(spark, "survivors"), tokens=value_tokens(), weight=trust_weight())
     return best.groupBy(F.col("g").alias("group_id")).pivot("f", SURVIVING).agg(F.first("value"))
 
 
+def p5_phones(spark: SparkSession, sf: str) -> DataFrame:
+    """The phones of those records: the number with the most trust behind it, and the member whose way to write it stays."""
+    phones = group_values(spark, sf).filter(F.col("f").isin("phone", "official_phone"))
+    best = survivors(phones, Scratch(spark, "survivors"), tokens=value_tokens(), weight=trust_weight())
+    return best.select(F.col("g").alias("group_id"), F.col("f").alias("field_name"), F.col("member").alias("npi"), phone_digits(F.col("value")).alias("digits"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of NPIs whose addresses are in the same building."""
     rows = table(spark, sf, "search_providers").withColumn("npi", F.nullif(F.trim("npi"), F.lit("")))
@@ -135,9 +147,9 @@ def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("lead", lead)
     told = rows.select("lead", "company_name", "authorized_person", "source_phone").filter("lead is not null").distinct()
     listed = rows.select("candidate_npi", "candidate_legal_name", "candidate_authorized_person", "candidate_phone", "candidate_auth_phone").filter("candidate_npi is not null").distinct()
-    leads = scratch.keep(with_keys(told, "company_name", "authorized_person", ["source_phone"]).select("lead", "name_words", "whole", "partial", "first", "last", "phones"))
+    leads = scratch.keep(with_keys(told, "company_name", "authorized_person", ["source_phone"]).select("lead", "full", "name_words", "whole", "partial", "first", "last", "phones"))
     candidates = scratch.keep(
-        with_keys(listed, "candidate_legal_name", "candidate_authorized_person", ["candidate_phone", "candidate_auth_phone"]).select("candidate_npi", "name_words", "whole", "partial", "first", "last", "phones")
+        with_keys(listed, "candidate_legal_name", "candidate_authorized_person", ["candidate_phone", "candidate_auth_phone"]).select("candidate_npi", "full", "name_words", "whole", "partial", "first", "last", "phones")
     )
     matches = scratch.keep(cascade(leads, candidates, scratch, lead="lead", candidate="candidate_npi"))
     # where a reviewer accepted a listed candidate of a lead, or two of the three checks passed, the others beside it are wrong
@@ -154,10 +166,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_matches(spark, sf).select("source_sheet", "source_row", "candidate_npi")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p6_found, p7_found, p7_matches, p9_fill, p10_found, p10_batches)}
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p5_phones, p6_found, p7_found, p7_matches, p9_fill, p10_found, p10_batches)}
 
-ORACLE = {
-    "p5_found": """
+_SAID = """
       with m as (select group_id, trim(npi) npi, min(coalesce(trust_rank, 99999999)) trust from lead_group_members left join relationship_trust using (relationship_type) group by all),
       g as (select * from m where group_id in (select group_id from m group by group_id having count(*) > 1)),
       s as (select distinct trim(npi) npi, nullif(trim(last_updated), '') upd, f.field_name, f.value from search_providers,
@@ -165,9 +176,18 @@ ORACLE = {
       w as (select *, upper(regexp_replace(value, '[^\\pL\\pN]+', '', 'g')) core, regexp_replace(regexp_replace(trim(value), '\\.0+$', ''), '[^0-9]', '', 'g') dig from s where value is not null),
       ok as (select * from w where core not in ('', 'NA', 'NONE', 'NULL', 'NIL', 'UNKNOWN', 'UNK', 'TBD', 'TBA', 'NOTAVAILABLE', 'NOTAPPLICABLE', 'NOTPROVIDED', 'MISSING', 'BLANK', 'PENDING')
              and not (regexp_matches(core, '^[A-Z][A-Z]+$') and core = repeat(left(core, 1), length(core)))
-             and (field_name not like '%phone' or (regexp_matches(dig, '^1?[0-9]{10}$') and right(dig, 10) <> repeat(right(dig, 1), 10))))
+             and (field_name not like '%phone' or (regexp_matches(dig, '^1?[0-9]{10}$') and right(dig, 10) <> repeat(right(dig, 1), 10))))"""
+
+ORACLE = {
+    "p5_found": _SAID + """
       select group_id, field_name, npi from g join ok using (npi)
       qualify row_number() over (partition by group_id, field_name order by trust, upd desc nulls last, npi) = 1""",
+    "p5_phones": _SAID + """,
+      r as (select group_id, field_name, npi, right(dig, 10) digits, row_number() over (partition by group_id, field_name order by trust, upd desc nulls last, npi) place, greatest(6 - trust, 1) weight
+            from g join ok using (npi) where field_name like '%phone'),
+      v as (select group_id, field_name, digits, sum(weight) votes, min(place) place from r group by all),
+      top as (select * from v qualify row_number() over (partition by group_id, field_name order by votes desc, digits) = 1)
+      select r.group_id, r.field_name, r.npi, r.digits from top join r using (group_id, field_name, place)""",
     "p1_found": """
       with recursive e as (
         select trim(left_npi) a, trim(right_npi) b from registry_match_candidates
