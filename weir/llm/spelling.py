@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A spelling follows a neighbour that is at least so many times commoner, overall or in the scope.
@@ -35,12 +35,12 @@ def cluster_spellings(entries: DataFrame, scope: str, spelling: str, count: str,
     tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fuzzy = rows.filter((F.length("sp") >= least) & ~F.col("sp").rlike("[0-9]")).repartition(tasks, "sc", "sp")  # as each row becomes many
     signed = fuzzy.select("sc", "sp", "n", "o", F.explode(signatures(F.col("sp"))).alias("g"))
-    elected = signed.groupBy("sc", "g").agg(F.max(F.struct("o", "n", "sp")).alias("best"))
+    elected = signed.withColumn("best", F.max(F.struct("o", "n", "sp")).over(Window.partitionBy("sc", "g")))  # few spellings share one
     commoner = (F.col("best.o") >= TIMES * F.col("o")) | (F.col("best.n") >= TIMES * F.col("n"))
     # equal hashes of texts that aren't neighbours lead nowhere
     near = (F.col("best.sp") != F.col("sp")) & (F.levenshtein("best.sp", "sp", 2) >= 0)
     led = F.struct(commoner.alias("commoner"), "best.o", "best.n", "best.sp")
-    follows = signed.join(elected, ["sc", "g"]).filter(near).groupBy("sc", "sp").agg(F.sort_array(F.collect_set(led), asc=False).alias("led"))
+    follows = elected.filter(near).groupBy("sc", "sp").agg(F.sort_array(F.collect_set(led), asc=False).alias("led"))
     first = F.when(F.col("led")[0]["commoner"], F.col("led")[0]["sp"])
     rest = F.filter(F.transform("led", lambda b: b["sp"]), lambda s: ~s.eqNullSafe(first))
     step = follows.select("sc", "sp", F.coalesce(first, "sp").alias("to"), rest.alias("others"))
