@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal forms that a name key leaves out, and titles that an owner key leaves out.
-LEGAL_SUFFIXES = ["llc", "inc", "corp", "corporation", "co", "company", "ltd", "limited", "lp", "llp", "pllc", "pc", "incorporated"]
-#: Words that begin a unit in a street line.
-UNIT_WORDS = "suite|ste|unit|apt|apartment|floor|fl|room|rm|bldg|building"
+LEGAL_SUFFIXES = ["inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "pc", "pllc", "lp", "llp"]
 
 
 def clean_text(c: Column) -> Column:
@@ -73,14 +71,6 @@ def postal_code(c: Column) -> Column:
     return F.nullif(F.when(F.length(d) == 9, F.concat(F.left(d, F.lit(5)), F.lit("-"), F.right(d, F.lit(4)))).when(F.length(d) >= 5, F.left(d, F.lit(5))).otherwise(d), F.lit(""))
 
 
-def street_key(c: Column) -> Column:
-    """A street line up to its unit, in lower case; null if under five characters or without a digit."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    cut = F.regexp_replace(F.regexp_replace(low, r"#.*$", ""), rf"\b({UNIT_WORDS})\b.*$", "")
-    key = F.trim(F.regexp_replace(cut, "[^a-z0-9]+", " "))
-    return F.when((F.length(key) >= 5) & key.rlike("[0-9]"), key)
-
-
 def formula_safe(c: Column) -> Column:
     """A cell that a spreadsheet would run as a formula, with a quote in front; signed numbers stay."""
     risky = c.rlike("^[=@]") | (c.rlike(r"^[+\-]") & ~c.rlike(r"^[+\-]?[0-9][0-9,]*\.?[0-9]*$"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A log line, and the starts of lines that aren't calls.
-LINE = r"^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2})(?: — ([^:]+))?: (.*)$"
+LINE = r"^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2})(?: — (.+?))?: (.*)$"
 KINDS = [("booked", "^meeting booked"), ("held", "^meeting held"), ("noShow", "^meeting no-show"), ("cancelled", "^meeting cancelled"), ("import", "^(imported from|reassigned by|disconnected by)"), ("dial", r"^dialed\b")]
 
 
@@ -90,7 +90,7 @@ def top_with_other(df: DataFrame, by: str, amount: Column, top: int = 5, decimal
 
     The largest come from a top-k and the rest from an aggregate, so that any number of groups will do.
     """
-    groups = df.groupBy(F.col(by).alias("label")).agg(F.round(F.sum(amount), decimals).alias("amount"))
+    groups = df.groupBy(F.col(by).alias("label")).agg(F.round(F.sum(amount), decimals).cast("double").alias("amount"))
     largest = groups.orderBy(F.desc("amount"), "label").limit(top)
     rest = groups.join(largest.select(F.col("label").alias("__top")), F.col("label").eqNullSafe(F.col("__top")), "left_anti").agg(F.lit("Other").alias("label"), F.round(F.sum("amount"), decimals).alias("amount")).filter("amount is not null")
     folded = largest.unionByName(rest)  # at most top + 1 rows

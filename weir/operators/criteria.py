@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -15,11 +18,17 @@ def like_escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
-def predicate(criteria: dict) -> Column:
-    """The conjunction of the criteria's clauses over the columns of search_providers; an empty dict matches organizations that are active.
+#: The columns of search_providers that a predicate may read.
+COLUMNS = ["npi", "name", "enumeration_type", "status", "is_organization", "city", "state", "postal_code", "phone", "taxonomy_code", "official_first_name", "official_last_name", "official_phone", "last_updated", "deactivation_date", "medicare_total_claims"]
+
+
+def predicate(criteria: dict, *, today: str | None = None, since: str = "enumeration_date") -> Column:
+    """The conjunction of the criteria's clauses over COLUMNS; an empty dict matches organizations that are active.
 
     npi alone decides everything; a phone or q keeps the clauses on organizations and activity and leaves out the rest.
-    A null column never satisfies a clause that names it, nor the negation of one.
+    A null column never satisfies a clause that names it, nor the negation of one. newSupplier and establishedSupplier read
+    the ISO date of column `since` (two years up to `today`, fifteen before it); untouched, tag and objection the columns of
+    team_flags.
     """
     if npi := criteria.get("npi"):
         return F.col("npi") == str(npi)
@@ -58,9 +67,69 @@ def predicate(criteria: dict) -> Column:
     prefix = "".join(filter(str.isdigit, str(criteria.get("zipPrefix") or "")))
     if 3 <= len(prefix) <= 5:
         out.append(F.regexp_replace(F.coalesce("postal_code", F.lit("")), r"\D", "").startswith(prefix))
+    if criteria.get("newSupplier"):
+        out.append(F.col(since) >= F.add_months(F.to_date(F.lit(today)), -24).cast("string"))
+    if criteria.get("establishedSupplier"):
+        out.append(F.col(since) <= F.add_months(F.to_date(F.lit(today)), -180).cast("string"))
+    if criteria.get("untouched"):
+        out.append(~F.coalesce("touched", F.lit(False)))
+    for one, many in (("tag", "tags"), ("objection", "objections")):
+        if wanted := criteria.get(one):
+            out.append(F.array_contains(many, wanted))
     return reduce(Column.__and__, out) if out else F.lit(True)
 
 
+def team_flags(df: DataFrame, *, touched: Sequence[DataFrame], tags: DataFrame, objections: DataFrame) -> DataFrame:
+    """df with what the team knows of each npi: touched, if any of the tables has it, and its distinct tags and objections."""
+    seen = reduce(DataFrame.unionByName, [t.select("npi") for t in touched]).dropna().distinct().withColumn("touched", F.lit(True))
+    sets = lambda t, one, many: t.dropna(subset=["npi", one]).groupBy("npi").agg(F.collect_set(one).alias(many))
+    return df.join(seen, "npi", "left").join(sets(tags, "tag", "tags"), "npi", "left").join(sets(objections, "objection", "objections"), "npi", "left")
+
+
+#: Criteria that are switches, lists, and texts; anything else a request holds is ignored.
+SWITCHES = ["includeIndividuals", "includeInactive", "hasPhone", "hasDecisionMaker", "activeMedicare", "newSupplier", "establishedSupplier", "untouched"]
+LISTS = {"states": "state", "taxonomyCodes": "taxonomyCode", "nameContains": "nameContains", "excludeKeywords": "excludeKeywords", "lastUpdatedYears": "lastUpdatedYear"}
+#: A code that no specialty has: who asks for specialties without a code finds nothing.
+NO_CODE = "none"
+
+
+def cleaned(request: dict) -> dict:
+    """A request's criteria: switches, trimmed lists without repetitions, ten digits of a phone, three to five of a ZIP, known sorts.
+
+    Blank entries are left out. Wildcards and commas of a text are spaces. A specialty that was asked for by name only,
+    without a code, becomes a code that nothing has.
+    """
+    one = lambda v: re.sub(r"\s+", " ", str(v if v is not None else "")).strip()
+    out: dict = {name: True for name in SWITCHES if str(request.get(name)).lower() in ("true", "on", "1")}
+    for many, single in LISTS.items():
+        given = request.get(many) or request.get(single) or []
+        if terms := list(dict.fromkeys(filter(None, map(one, [given] if isinstance(given, str) else given)))):
+            out[many] = terms
+    for name, most in (("city", 100), ("organizationName", 100), ("tag", 24), ("objection", 24), ("npi", 10)):
+        if text := one(request.get(name))[:most]:
+            out[name] = text.lower() if name in ("tag", "objection") else text
+    if text := one(re.sub("[,%_]", " ", str(request.get("q") or "")))[:100]:
+        out["q"] = text
+    if len(digits := re.sub(r"\D", "", str(request.get("phone") or ""))) >= 10:
+        out["phone"] = digits[-10:]
+    if len(digits := re.sub(r"\D", "", str(request.get("zipPrefix") or ""))) >= 3:
+        out["zipPrefix"] = digits[:5]
+    claims = str(request.get("minMedicareClaims") or "")
+    if re.fullmatch(r"\d+(\.\d+)?", claims) and float(claims) > 0:
+        out["minMedicareClaims"] = float(claims)
+    if (sort := one(request.get("sort")).lower()) in SORTS:
+        out["sort"] = sort
+    if one(request.get("specialty")) and "taxonomyCodes" not in out:
+        out["taxonomyCodes"] = [NO_CODE]
+    return out
+
+
+def fingerprint(criteria: dict) -> str:
+    """The same for the same criteria in any order, also of lists; the sort mode and the page are no part of it."""
+    canonical = {k: sorted(v) if isinstance(v, list) else v for k, v in criteria.items() if k not in ("sort", "limit", "skip")}
+    return hashlib.sha256(json.dumps(canonical, sort_keys=True).encode()).hexdigest()
+
+
 #: The sort modes; the key always breaks ties, so that pages never overlap.
 SORTS = {
     "medicare": lambda: [F.desc_nulls_last("medicare_total_claims"), F.asc("npi")],
@@ -83,12 +152,20 @@ def counts(df: DataFrame, criteria: dict, taken: DataFrame, seen: DataFrame, *,
     return flags.agg(up_to(F.count("*")).alias("matched"), up_to(F.count_if(free)).alias("unclaimed"), up_to(F.count_if(free & F.col("seen").isNull())).alias("left"))
 
 
-def quick_counts(df: DataFrame, picks: dict[str, dict]) -> DataFrame:
+def quick_counts(df: DataFrame, picks: dict[str, dict], **dates: str) -> DataFrame:
     """(pick, n): the matches of each criteria, all in one scan."""
-    one = df.agg(*[F.count_if(predicate(c)).alias(name) for name, c in picks.items()])
+    one = df.agg(*[F.count_if(predicate(c, **dates)).alias(name) for name, c in picks.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pick"), F.col(n).alias("n")) for n in picks])).alias("x")).select("x.*")
 
 
+def relaxations(df: DataFrame, criteria: dict) -> DataFrame:
+    """(dropped, found, more): the matches without each one of the criteria, and how many more those are, all in one scan."""
+    loose = {name: {k: v for k, v in criteria.items() if k != name} for name in criteria}
+    one = df.agg(F.count_if(predicate(criteria)).alias("__all"), *[F.count_if(predicate(c)).alias(name) for name, c in loose.items()])
+    rows = [F.struct(F.lit(name).alias("dropped"), F.col(name).alias("found"), (F.col(name) - F.col("__all")).alias("more")) for name in loose]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def territory(df: DataFrame, taken: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Totals and what is free by the cells' rollup: every cell, each first column's total, and the grand total."""
     flags = df.join(taken.select("npi", F.lit(1).alias("taken")).distinct(), "npi", "left")

@@ -91,12 +91,12 @@ def merged_groups(members: DataFrame, group_pairs: DataFrame) -> DataFrame:
 SIGNALS = ["name", "state", "official", "phone"]
 
 
-def candidate_matches(candidates: DataFrame, existing: DataFrame, cap: int = 200) -> DataFrame:
+def candidate_matches(candidates: DataFrame, existing: DataFrame, cap: int = 200, similar: bool = True) -> DataFrame:
     """(npi, other, tier, keys, name_match, automatic): existing records that a candidate may be the same as, by the first rule that holds.
 
     Both have npi, name, state, official, phone; '' and null share nothing. Pairs come from equal names, officials and
-    phones, three joins instead of one on an OR, and are compared once. A similar name may stand for an equal one, but then
-    a person decides. A key of more than `cap` existing records joins nothing by itself, as it means nothing; a pair that
+    phones, three joins instead of one on an OR, and are compared once. A similar name may stand for an equal one, unless `similar` is
+    False, but then a person decides. A key of more than `cap` existing records joins nothing by itself, as it means nothing; a pair that
     also shares another key is found by that.
     """
     prepared = lambda df, p: df.select(F.col("npi").alias(f"{p}npi"), *[F.nullif(F.trim(c), F.lit("")).alias(f"{p}{c}") for c in SIGNALS]).distinct()
@@ -110,7 +110,7 @@ def candidate_matches(candidates: DataFrame, existing: DataFrame, cap: int = 200
     pairs = ids.join(left, "npi").join(right, "o_npi")
     same = {c: F.coalesce(F.col(c) == F.col(f"o_{c}"), F.lit(False)) for c in SIGNALS}
     pairs = pairs.withColumns({f"same_{c}": test for c, test in same.items()})
-    alike = F.when(~F.col("same_name") & (F.col("same_official") | F.col("same_phone")), token_sort_ratio(F.col("name"), F.col("o_name")) >= FUZZY_NAME)
+    alike = F.when(~F.col("same_name") & (F.col("same_official") | F.col("same_phone")), token_sort_ratio(F.col("name"), F.col("o_name")) >= FUZZY_NAME) if similar else F.lit(False)
     pairs = pairs.withColumn("like_name", F.coalesce(alike, F.lit(False)))
     number = F.lit(None).cast("int")
     for i, (_, keys, _) in reversed(list(enumerate(RULES))):

@@ -20,13 +20,14 @@ def latest_keys(keys: DataFrame) -> DataFrame:
 def match_pairs(keys: DataFrame, cap: int = 25) -> DataFrame:
     """(left_npi, right_npi, tier, matched_keys) of NPIs that share a bucket of 2 to cap members.
 
-    Larger buckets make no pairs, which bounds the pairs of a bucket; they are reported, not paired. Keys travel with the
-    bucket's members, so that pairs need no further join. Rows are one for each NPI.
+    Larger buckets make no pairs, which bounds the pairs of a bucket; they are reported, not paired. Buckets are counted by an
+    aggregate, members of large ones are left out, and only then do keys join the members, so that pairs need no
+    further join. Rows are one for each NPI.
     """
-    attributes = F.struct("name_key", "state_key", "official_key", "phones").alias("k")
-    members = bucket_members(keys).join(keys.select("npi", attributes), "npi")
-    sized = bucket_members(keys).groupBy("bucket_type", "bucket_key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, cap)).select("bucket_type", "bucket_key")
-    small = members.join(sized, ["bucket_type", "bucket_key"])
+    bucket = ["bucket_type", "bucket_key"]
+    members = bucket_members(keys)
+    sized = members.groupBy(*bucket).agg(F.count("*").alias("n")).filter(F.col("n").between(2, cap)).select(*bucket)
+    small = members.join(sized, bucket, "left_semi").join(keys.select("npi", F.struct("name_key", "state_key", "official_key", "phones").alias("k")), "npi")
     groups = small.groupBy("bucket_type", "bucket_key").agg(F.sort_array(F.collect_list(F.struct("npi", "k"))).alias("m"))  # at most cap members
     left = groups.select(F.posexplode("m").alias("i", "a"), "m")
     pairs = left.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))

@@ -82,14 +82,14 @@ def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
 def product_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The five largest part types by revenue, and the rest as Other."""
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    return V.top_with_other(rows, "p_type", F.col("l_extendedprice") * (1 - F.col("l_discount"))).withColumn("amount", F.round("amount", 0))
+    return V.top_with_other(rows, "p_type", F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)")))
 
 
 def nation_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Revenue of each supplier nation by year, against the year before."""
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
     names = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("nation"))
-    return V.year_trend(lines.join(names, "l_suppkey"), "nation", "l_shipdate", F.col("l_extendedprice")).withColumn("amount", F.round("amount", 0))
+    return V.year_trend(lines.join(names, "l_suppkey"), "nation", "l_shipdate", F.col("l_extendedprice").cast("decimal(12,2)")).withColumn("amount", F.col("amount").cast("double"))
 
 
 def type_shifts(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +160,7 @@ _LEVEL = " ".join(f"when '{s}' then {i}" for i, s in enumerate(STAGES))
 
 ORACLE = {
     "note_kinds": r"""with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') raw from documents),
-      m as (select doc_id, regexp_extract(raw, '^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2})(?: — ([^:]+))?: (.*)$', ['d', 't', 'a', 'n']) x from l where regexp_matches(raw, '^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2})(?: — ([^:]+))?: (.*)$')),
+      m as (select doc_id, regexp_extract(raw, '^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2})(?: — (.+?))?: (.*)$', ['d', 't', 'a', 'n']) x from l where regexp_matches(raw, '^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2})(?: — (.+?))?: (.*)$')),
       k as (select doc_id, nullif(trim(x.a), '') is not null signed, try_cast(x.d || ' ' || x.t || ':00' as timestamp) ts, case when trim(x.n) ilike 'meeting booked%' then 'booked' when trim(x.n) ilike 'meeting held%' then 'held' when trim(x.n) ilike 'meeting no-show%' then 'noShow' when trim(x.n) ilike 'meeting cancelled%' then 'cancelled' when regexp_matches(lower(trim(x.n)), '^(imported from|reassigned by|disconnected by)') then 'import' when regexp_matches(lower(trim(x.n)), '^dialed\b') then 'dial' else 'call' end kind from m)
       select signed, kind, count(*) lines, count(distinct doc_id) documents, max(ts) latest from k group by all""",
     "call_pairing": """with e as (select *, count(*) filter (event_type = 'click') over (partition by user_id order by ts, event_id) g from events where event_type in ('click', 'view')),
@@ -176,8 +176,8 @@ ORACLE = {
     "event_funnel": f"with u as (select user_id, max(case event_type {_LEVEL} end) l from events group by 1), c as (" + " union all ".join(f"select {i} step, '{s}' stage, count(*) filter (l >= {i}) reached from u" for i, s in enumerate(STAGES)) + ") select *, case when lag(reached) over (order by step) > 0 then round(reached / lag(reached) over (order by step), 4) end of_previous from c",
     "user_sessions": "with e as (select *, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 4 hour then 1 else 0 end new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id) g from e), c as (select user_id, g, count(*) n, min(ts) start from s group by all) select user_id, count(*) sessions, max(n) longest, min(start) first_start from c group by 1",
     "sliding_windows": "select time_bucket(interval 6 hour, ts) - to_hours(6 * k) as \"start\", event_type, count(*) n from events, (select unnest([0, 1, 2, 3]) k) group by all",
-    "product_mix": "with g as (select p_type label, round(sum(l_extendedprice * (1 - l_discount)), 2) amount from lineitem join part on p_partkey = l_partkey group by 1), r as (select *, row_number() over (order by amount desc, label) n from g), f as (select case when n <= 5 then label else 'Other' end label, sum(amount) amount from r group by 1) select label, round(amount, 0) amount, round(amount / sum(amount) over (), 4) share from f",
-    "nation_trend": "with y as (select n_name nation, year(l_shipdate)::int \"year\", round(sum(l_extendedprice), 2) amount from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by all), b as (select *, lag(amount) over (partition by nation order by \"year\") b from y) select nation, \"year\", round(amount, 0) amount, case when b is null or b = 0 then 'new' when (amount - b) / b >= 0.1 then 'up' when (amount - b) / b <= -0.2 then 'down' else 'flat' end trend from b",
+    "product_mix": "with g as (select p_type label, round(sum(l_extendedprice::decimal(12,2) * (1 - l_discount::decimal(4,2))), 2) amount from lineitem join part on p_partkey = l_partkey group by 1), r as (select *, row_number() over (order by amount desc, label) n from g), f as (select case when n <= 5 then label else 'Other' end label, sum(amount) amount from r group by 1) select label, amount::double amount, round(amount::double / sum(amount) over ()::double, 4) share from f",
+    "nation_trend": "with y as (select n_name nation, year(l_shipdate)::int \"year\", round(sum(l_extendedprice::decimal(12,2)), 2) amount from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by all), b as (select *, lag(amount) over (partition by nation order by \"year\") b from y) select nation, \"year\", amount::double amount, case when b is null or b = 0 then 'new' when (amount - b) / b >= 0.1 then 'up' when (amount - b) / b <= -0.2 then 'down' else 'flat' end trend from b",
     "type_shifts": "with q as (select p_type, coalesce(sum(l_quantity) filter (year(l_shipdate) = 1995), 0) as \"before\", coalesce(sum(l_quantity) filter (year(l_shipdate) = 1996), 0) as \"after\" from lineitem join part on p_partkey = l_partkey where year(l_shipdate) in (1995, 1996) group by 1) select *, \"after\" - \"before\" as change from q where abs(\"after\" - \"before\") >= 50 and (\"before\" = 0 or abs(\"after\" - \"before\") >= 0.02 * \"before\") order by abs(\"after\" - \"before\") desc, p_type limit 4",
     "order_conflicts": "select o_custkey, count(distinct o_orderstatus) states, array_to_string(list_sort(list(distinct o_orderstatus)), ',') list from orders group by 1 having count(distinct o_orderstatus) > 1",
     "last_orders": "select o_custkey, o_orderkey, o_orderdate, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",

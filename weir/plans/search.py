@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weir.functions import labels as L
 from weir.functions import text as X
 from weir.operators import apply as A
 from weir.operators import criteria as C
@@ -27,9 +28,9 @@ PICKS = {
 TERMS = ["pharmacy", "home medical", "medical equipment", "home medical equipment", "sleep", "supply", "health supply", "care", "group"]
 
 
-def providers(spark: SparkSession, sf: str) -> DataFrame:
-    """search_providers without exact repetitions."""
-    return table(spark, sf, "search_providers").distinct()
+def providers(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """search_providers without exact repetitions: the NPI and these columns, or those that criteria read."""
+    return table(spark, sf, "search_providers").select(["npi", *columns] if columns else C.COLUMNS).distinct()
 
 
 def grouped(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,26 +56,26 @@ def quick_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def territory_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Providers by state and taxonomy, with totals, and how many are in no group."""
-    return C.territory(providers(spark, sf).select("npi", "state", "taxonomy_code").dropna(), grouped(spark, sf), ["state", "taxonomy_code"])
+    return C.territory(providers(spark, sf, "state", "taxonomy_code").dropna(), grouped(spark, sf), ["state", "taxonomy_code"])
 
 
 def keyword_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     """The longest excluded term in each provider's name, never for a grouped provider."""
-    free = providers(spark, sf).join(grouped(spark, sf), "npi", "left_anti")
+    free = providers(spark, sf, "name").join(grouped(spark, sf), "npi", "left_anti")
     return C.longest_term(free, "name", TERMS).filter("term is not null").select("npi", "term")
 
 
 def exclusion_audit(spark: SparkSession, sf: str) -> DataFrame:
     """For each term, the providers it names and how many of them are active or grouped."""
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    rows = providers(spark, sf).join(grouped(spark, sf).withColumn("held", F.lit(True)), "npi", "left")
+    rows = providers(spark, sf, "name", "status").join(grouped(spark, sf).withColumn("held", F.lit(True)), "npi", "left")
     hit = rows.join(F.broadcast(terms), F.lower("name").contains(F.col("term")))  # the list of terms is a constant
     return hit.groupBy("term").agg(F.count("*").alias("named"), F.count_if(F.upper("status").isin("A", "ACTIVE")).alias("active"), F.count("held").alias("held"))
 
 
 def keep_set_removable(spark: SparkSession, sf: str) -> DataFrame:
     """Deactivated providers that no group, pair or sheet protects."""
-    gone = providers(spark, sf).filter(F.upper("status").isin("D", "DEACTIVATED"))
+    gone = providers(spark, sf, "name", "status").filter(F.upper("status").isin("D", "DEACTIVATED"))
     pairs = table(spark, sf, "registry_match_candidates")
     keep = [grouped(spark, sf), pairs.select(F.col("left_npi").alias("npi")), pairs.select(F.col("right_npi").alias("npi")), table(spark, sf, "pis_to_resolve_recheck").select(F.col("candidate_npi").alias("npi"))]
     return C.removable(gone, "npi", keep).select("npi", "name")
@@ -98,14 +99,14 @@ def check_digits(spark: SparkSession, sf: str) -> DataFrame:
 def phone_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Five ways in which phones are keyed; they differ on purpose."""
     p, o = F.col("phone"), F.col("official_phone")
-    return providers(spark, sf).select("npi", X.phone_key(p, o).alias("phone_key"), X.national_number(p).alias("national"), X.last_ten(p).alias("last_ten"), X.first_phone(p, o).alias("first_phone"))
+    return providers(spark, sf, "phone", "official_phone").select("npi", X.phone_key(p, o).alias("phone_key"), X.national_number(p).alias("national"), X.last_ten(p).alias("last_ten"), X.first_phone(p, o).alias("first_phone"))
 
 
 def name_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of names, officials, states, streets and codes."""
-    return providers(spark, sf).select(
+    return providers(spark, sf, "name", "official_first_name", "official_last_name", "state", "postal_code", "address_line1").select(
         "npi", X.name_key(F.col("name")).alias("name_key"), X.official_key(F.col("official_first_name"), F.col("official_last_name")).alias("official_key"),
-        X.state_key(F.col("state")).alias("state_key"), X.normalize_name(F.col("name")).alias("normalized"), X.postal_code(F.col("postal_code")).alias("postal"), X.street_key(F.col("address_line1")).alias("street"),
+        X.state_key(F.col("state")).alias("state_key"), X.normalize_name(F.col("name")).alias("normalized"), X.postal_code(F.col("postal_code")).alias("postal"), L.building_key(F.col("address_line1")).alias("street"),
     )
 
 
@@ -126,14 +127,15 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 def same_owner(spark: SparkSession, sf: str) -> DataFrame:
     """Providers with an official of the same name, by how much else agrees."""
-    return I.owner_counts(providers(spark, sf))
+    return I.owner_counts(providers(spark, sf, "official_first_name", "official_last_name", "official_phone", "state"))
 
 
 def duplicate_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the provider table by how often their NPI, name in a state, and phone occur."""
+    """Rows of the provider table by how often their NPI, name in a state, and phone occur; what is missing occurs once."""
     rows = table(spark, sf, "search_providers").select("npi", X.normalize_name(F.col("name")).alias("n"), "state", X.national_number(F.col("phone")).alias("p"))
-    many = lambda *c: F.when(F.count("*").over(Window.partitionBy(*c)) > 1, True).otherwise(False)
-    flagged = rows.select(many("npi").alias("npi_twice"), (many("n", "state") & F.col("n").isNotNull()).alias("name_twice"), (many("p") & F.col("p").isNotNull()).alias("phone_twice"))
+    for name, keys in {"npi_twice": ["npi"], "name_twice": ["n", "state"], "phone_twice": ["p"]}.items():
+        rows = N.with_key_size(rows, keys, name)
+    flagged = rows.select(*[F.coalesce(F.col(name) > 1, F.lit(False)).alias(name) for name in ("npi_twice", "name_twice", "phone_twice")])
     return flagged.groupBy("npi_twice", "name_twice", "phone_twice").agg(F.count("*").alias("n"))
 
 
@@ -146,7 +148,7 @@ def latest_keys(spark: SparkSession, sf: str) -> DataFrame:
 def group_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Groups whose members are in several states, with states and members in order."""
     members = table(spark, sf, "lead_group_members").select("group_id", "npi").distinct()
-    rows = members.join(providers(spark, sf).select("npi", "state").dropna(), "npi")
+    rows = members.join(providers(spark, sf, "state").dropna(), "npi")
     agg = rows.groupBy("group_id").agg(F.countDistinct("state").alias("states"), F.array_join(F.sort_array(F.collect_set("state")), ",").alias("state_list"), F.array_join(F.sort_array(F.collect_set("npi")), ",").alias("npis"))
     return agg.filter("states > 1")
 
@@ -200,20 +202,20 @@ def plan_equivalence(spark: SparkSession, sf: str) -> DataFrame:
 
 def same_address(spark: SparkSession, sf: str) -> DataFrame:
     """Providers by how many share their state, city and street line as written, units aside."""
-    rows = providers(spark, sf).select("npi", "state", F.lower(F.trim("city")).alias("city"), X.street_key(F.col("address_line1")).alias("street"))
+    rows = providers(spark, sf, "state", "city", "address_line1").select("npi", "state", F.lower(F.trim("city")).alias("city"), L.building_key(F.col("address_line1")).alias("street"))
     return N.with_key_size(rows, ["state", "city", "street"], "there").groupBy(F.coalesce("there", F.lit(0)).alias("there")).agg(F.count("*").alias("providers"))
 
 
 def related_providers(spark: SparkSession, sf: str) -> DataFrame:
     """Up to three others of each provider by a phone of at most 6, or an official in a state of at most 8."""
-    rows = providers(spark, sf).select("npi", X.national_number(F.col("phone")).alias("p"), F.nullif(X.official_key(F.col("official_first_name"), F.col("official_last_name")), F.lit("")).alias("o"), "state")
+    rows = providers(spark, sf, "phone", "official_first_name", "official_last_name", "state").select("npi", X.national_number(F.col("phone")).alias("p"), F.nullif(X.official_key(F.col("official_first_name"), F.col("official_last_name")), F.lit("")).alias("o"), "state")
     rows = rows.withColumn("p", F.when(F.length(F.replace("p", F.left("p", F.lit(1)), F.lit(""))) > 0, F.col("p")))
     return N.related(rows, "npi", {"phone": (["p"], 6), "owner": (["o", "state"], 8)})
 
 
 def state_specialty(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent taxonomy of each state."""
-    return N.most_common(providers(spark, sf).filter("state is not null"), ["state"], "taxonomy_description")
+    return N.most_common(providers(spark, sf, "state", "taxonomy_description").filter("state is not null"), ["state"], "taxonomy_description")
 
 
 def name_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +263,7 @@ _TERM_LIST = ", ".join(f"('{t}')" for t in TERMS)
 _D = lambda c: f"regexp_replace(coalesce({c}, ''), '[^0-9]', '', 'g')"
 _TEXT = lambda c: f"trim(regexp_replace(lower(regexp_replace(coalesce({c}, ''), '[.'']', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 _NORM = lambda c: f"nullif(trim(regexp_replace(regexp_replace(upper({c}), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')), '')"
-_SUFFIXES = ", ".join(f"'{s}'" for s in X.LEGAL_SUFFIXES)
+_SUFFIXES = "'llc', 'inc', 'corp', 'corporation', 'co', 'company', 'ltd', 'limited', 'lp', 'llp', 'pllc', 'pc', 'incorporated'"
 _LUHN = lambda c: "(24 + " + " + ".join((f"(case when substr({c}, {i}, 1)::int >= 5 then 2 * substr({c}, {i}, 1)::int - 9 else 2 * substr({c}, {i}, 1)::int end)" if i % 2 else f"substr({c}, {i}, 1)::int") for i in range(1, 11)) + ") % 10 = 0"
 _TEN = lambda c: f"nullif(regexp_extract({_D(c)}, '^1?([0-9]{{10}})', 1), '')"
 _KEYS = """with k as (select trim(npi) npi, arg_max({'n': name_key, 's': state_key, 'o': official_key, 'p': phones}, updated_at) k from npi_identity_keys group by 1),
@@ -291,19 +293,19 @@ ORACLE = {
     "validation_reasons": f"with r as (select *, row_number() over (partition by npi order by name nulls first, phone nulls first) rn, case when npi is null or npi = '' then 'missing_npi' when not regexp_full_match(npi, '[0-9]{{10}}') then 'bad_format' when not ({_LUHN('npi')}) then 'bad_check_digit' end bad, case when name is null or trim(name) = '' then 'missing_name' when not {_ORG.replace(', enumeration_type = ' + chr(39) + 'NPI-2' + chr(39), '')} then 'individual' when state is null then 'state' end other from search_providers), f as (select *, min(case when bad is null and other is null then rn end) over (partition by npi) ok from r) select coalesce(bad, case when rn > ok then 'duplicate' end, other, 'accepted') reason, count(*) n from f group by 1",
     "check_digits": f"with r as (select distinct trim(npi) npi, left(trim(npi), 8) || substr(trim(npi), 10, 1) || substr(trim(npi), 9, 1) swapped from npi_identity_keys) select count(*) n, count(*) filter ({_LUHN('npi')}) valid, count(*) filter ({_LUHN('swapped')}) valid_swapped from r",
     "phone_keys": _P + f", c as (select npi, phone, {_TEN('phone')} a, {_TEN('official_phone')} b, regexp_replace(phone, '[^0-9]', '', 'g') d, list_filter(list_transform(regexp_extract_all(regexp_replace(phone, '[()\\s.\\-]+', '', 'g'), '\\d+'), lambda x: case when length(x) = 11 and x like '1%' then substr(x, 2) else left(x, 10) end), lambda x: length(x) = 10 and not regexp_matches(x, '^[01]')) f, list_filter(list_transform(regexp_extract_all(regexp_replace(official_phone, '[()\\s.\\-]+', '', 'g'), '\\d+'), lambda x: case when length(x) = 11 and x like '1%' then substr(x, 2) else left(x, 10) end), lambda x: length(x) = 10 and not regexp_matches(x, '^[01]')) fo from p) select npi, coalesce(a, b, '') phone_key, nullif(regexp_extract(d, '^1?([0-9]{{10}})$', 1), '') national, right(coalesce(d, ''), 10) last_ten, coalesce(f[1], fo[1]) first_phone from c",
-    "name_keys": _P + f" select npi, array_to_string(list_filter(string_split({_TEXT('name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') name_key, array_to_string(list_filter(string_split({_TEXT('concat_ws(' + chr(39) + ' ' + chr(39) + ', official_first_name, official_last_name)')}, ' '), lambda x: length(x) > 1), ' ') official_key, upper(regexp_replace(coalesce(state, ''), '[^A-Za-z]', '', 'g')) state_key, {_NORM('name')} normalized, nullif(case when length({_D('postal_code')}) = 9 then left({_D('postal_code')}, 5) || '-' || right({_D('postal_code')}, 4) when length({_D('postal_code')}) >= 5 then left({_D('postal_code')}, 5) else {_D('postal_code')} end, '') postal, (select case when length(k) >= 5 and regexp_matches(k, '[0-9]') then k end from (select trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(address_line1, '')), '#.*$', ''), '\\b({X.UNIT_WORDS})\\b.*$', ''), '[^a-z0-9]+', ' ', 'g')) k)) street from p",
+    "name_keys": _P + f" select npi, array_to_string(list_filter(string_split({_TEXT('name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') name_key, array_to_string(list_filter(string_split({_TEXT('concat_ws(' + chr(39) + ' ' + chr(39) + ', official_first_name, official_last_name)')}, ' '), lambda x: length(x) > 1), ' ') official_key, upper(regexp_replace(coalesce(state, ''), '[^A-Za-z]', '', 'g')) state_key, {_NORM('name')} normalized, nullif(case when length({_D('postal_code')}) = 9 then left({_D('postal_code')}, 5) || '-' || right({_D('postal_code')}, 4) when length({_D('postal_code')}) >= 5 then left({_D('postal_code')}, 5) else {_D('postal_code')} end, '') postal, (select case when length(k) >= 5 and regexp_matches(k, '[0-9]') then k end from (select trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(address_line1, '')), '[.,]', ' ', 'g'), '#.*$', ''), '\\s+(STE|SUITE|UNIT|APT|APARTMENT|RM|ROOM|FL|FLOOR|BLDG|BUILDING|DEPT|LOT|SPC)\\b.*$', ''), '\\s+', ' ', 'g')) k)) street from p",
     "identity_pairs": _KEYS + " select * from m",
     "match_build_delta": _KEYS + ", o as (select distinct left_npi, right_npi from registry_match_candidates where right_npi is not null) select count(m.left_npi) pairs, count(*) filter (o.left_npi is null) new_pairs, count(*) filter (m.left_npi is null) removed_pairs from o full join m on o.left_npi = m.left_npi and o.right_npi = m.right_npi",
     "review_queue": "with b as (select least(left_npi, right_npi) left_npi, greatest(left_npi, right_npi) right_npi, min(tier) tier from registry_match_candidates where left_npi <> right_npi group by 1, 2), g as (select npi, min(group_id) g from lead_group_members group by npi) select b.*, x.g left_group, y.g right_group from b left join g x on x.npi = left_npi left join g y on y.npi = right_npi where x.g is null or y.g is null or x.g <> y.g",
     "same_owner": _P + f", r as (select npi, nullif(lower(trim(concat_ws(' ', trim(official_first_name), trim(official_last_name)))), '') o, case when length(right({_D('official_phone')}, 10)) = 10 then right({_D('official_phone')}, 10) end p, state s from p), c as (select npi, count(*) over (partition by o) - 1 same_name, case when p is null then 0 else count(*) over (partition by o, p) - 1 end strong, case when s is null then 0 else count(*) over (partition by o, s) - 1 end - case when s is null or p is null then 0 else count(*) over (partition by o, s, p) - 1 end weak from r where o is not null) select *, strong = 0 and weak > 12 ambiguous from c",
-    "duplicate_flags": f"with r as (select npi, {_NORM('name')} n, state, nullif(regexp_extract(regexp_replace(phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p from search_providers), f as (select count(*) over (partition by npi) > 1 npi_twice, n is not null and count(*) over (partition by n, state) > 1 name_twice, p is not null and count(*) over (partition by p) > 1 phone_twice from r) select npi_twice, name_twice, phone_twice, count(*) n from f group by all",
+    "duplicate_flags": f"with r as (select npi, {_NORM('name')} n, state, nullif(regexp_extract(regexp_replace(phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p from search_providers), f as (select count(*) over (partition by npi) > 1 npi_twice, n is not null and state is not null and count(*) over (partition by n, state) > 1 name_twice, p is not null and count(*) over (partition by p) > 1 phone_twice from r) select npi_twice, name_twice, phone_twice, count(*) n from f group by all",
     "latest_keys": "select npi, keys_hash, updated_at from npi_identity_keys qualify row_number() over (partition by npi order by updated_at desc nulls last, keys_hash) = 1",
     "group_conflicts": _P + ", r as (select m.group_id, p.npi, p.state from (select distinct group_id, npi from lead_group_members) m join p using (npi) where state is not null) select group_id, count(distinct state) states, array_to_string(list_sort(list(distinct state)), ',') state_list, array_to_string(list_sort(list(distinct npi)), ',') npis from r group by group_id having count(distinct state) > 1",
     "delivery_apply": _LAST + f" select case when not o_in then 'inserted' when not n_in then 'absent' when {_DIFF} then 'updated' else 'unchanged' end action, count(*) n from j group by 1",
     "delivery_history": _LAST + " select field_name, case when a is null then 'came' when b is null then 'went' else 'changed' end how, count(*) n from (" + " union all ".join(f"select '{m}' field_name, o.{m} a, n.{m} b from j where o_in and n_in and round(o.{m}, 2) is distinct from round(n.{m}, 2)" for m in MEASURES) + ") group by all union all select 'record_created', 'came', count(*) from j where not o_in having count(*) > 0",
     "claims_drop": _LAST + " select npi, round(o.total_claims, 2) old_claims, round(coalesce(n.total_claims, 0), 2) new_claims, round((1 - coalesce(n.total_claims, 0) / o.total_claims) * 100, 1) drop_pct from j where o_in and n_in and o.total_claims > 0 and coalesce(n.total_claims, 0) < o.total_claims * 0.5",
     "keyset_page": "select distinct left_npi, right_npi from registry_match_candidates where left_npi is not null and right_npi is not null and (left_npi, right_npi) > ('25', '') order by 1, 2 limit 51",
-    "same_address": _P + f", r as (select npi, state, lower(trim(city)) city, (select case when length(k) >= 5 and regexp_matches(k, '[0-9]') then k end from (select trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(address_line1, '')), '#.*$', ''), '\\b({X.UNIT_WORDS})\\b.*$', ''), '[^a-z0-9]+', ' ', 'g')) k)) street from p), c as (select case when state is null or city is null or street is null then 0 else count(*) over (partition by state, city, street) end there from r) select there, count(*) providers from c group by 1",
+    "same_address": _P + f", r as (select npi, state, lower(trim(city)) city, (select case when length(k) >= 5 and regexp_matches(k, '[0-9]') then k end from (select trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(address_line1, '')), '[.,]', ' ', 'g'), '#.*$', ''), '\\s+(STE|SUITE|UNIT|APT|APARTMENT|RM|ROOM|FL|FLOOR|BLDG|BUILDING|DEPT|LOT|SPC)\\b.*$', ''), '\\s+', ' ', 'g')) k)) street from p), c as (select case when state is null or city is null or street is null then 0 else count(*) over (partition by state, city, street) end there from r) select there, count(*) providers from c group by 1",
     "related_providers": _P + f", r as (select npi, state, nullif(array_to_string(list_filter(string_split({_TEXT('concat_ws(' + chr(39) + ' ' + chr(39) + ', official_first_name, official_last_name)')}, ' '), lambda x: length(x) > 1), ' '), '') o, nullif(regexp_extract(regexp_replace(phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p from p), q as (select *, case when length(replace(p, left(p, 1), '')) > 0 then p end pp from r), a as (select npi, pp k from q where pp is not null), b as (select npi, o || '|' || state k from q where o is not null and state is not null), sa as (select * from a where k in (select k from a group by k having count(*) between 2 and 6)), sb as (select * from b where k in (select k from b group by k having count(*) between 2 and 8)), u as (select x.npi, y.npi other, 'phone' why from sa x join sa y using (k) where x.npi <> y.npi union select x.npi, y.npi, 'owner' from sb x join sb y using (k) where x.npi <> y.npi), m as (select npi, other, array_to_string(list_sort(list(why)), '+') why, count(*) n from u group by 1, 2) select npi, other, why from m qualify row_number() over (partition by npi order by n desc, other) <= 3",
     "state_specialty": _P + ", c as (select state, taxonomy_description, count(*) n from p where state is not null and taxonomy_description is not null group by 1, 2) select state, taxonomy_description, n from c qualify row_number() over (partition by state order by n desc, taxonomy_description) = 1",
     "name_audit": f"with r as (select source_sheet, source_row, candidate_npi, array_to_string(list_filter(string_split({_TEXT('company_name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') = array_to_string(list_filter(string_split({_TEXT('candidate_legal_name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') a, nullif(regexp_extract(regexp_replace(source_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') s, nullif(regexp_extract(regexp_replace(candidate_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p, nullif(regexp_extract(regexp_replace(candidate_auth_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') q, coalesce(lower(string_split(trim(authorized_person), ' ')[-1]) = lower(string_split(trim(candidate_authorized_person), ' ')[-1]), false) c from pis_to_resolve_recheck where candidate_npi is not null), g as (select source_sheet, source_row, candidate_npi, bool_or(a) same_name, bool_or(coalesce(s = p or s = q, false)) same_phone, bool_or(c) same_person from r group by all), n as (select *, same_name::int + same_phone::int + same_person::int agreed from g) select *, row_number() over (partition by source_sheet, source_row order by agreed desc, candidate_npi) \"rank\" from n",
