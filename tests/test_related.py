@@ -31,7 +31,7 @@ def test_pages_hold_whole_groups(spark):
 def test_branches_and_modes(spark):
     rows = [("1", "o", "p", "n"), ("2", "o", "p", "m"), ("3", "o", None, "m"), ("4", None, None, None)]
     df = spark.createDataFrame(rows, "id string, o string, p string, n string")
-    assert {r.id: r.branch for r in N.branches_merged(df, [["o", "p"], ["n", "o"]], "id").collect()} == {"1": "1", "2": "1", "3": "2", "4": "4"}
+    assert {r.id: r.branch for r in N.branches_merged(df, [["o", "p"], ["n", "o"]], "id").collect()} == {"1": "1", "2": "1", "3": "1", "4": "4"}
     assert [tuple(r) for r in N.most_common(df.withColumn("g", F.lit(1)), ["g"], "n", "times").collect()] == [(1, "m", 2)]
     assert N.with_key_size(df, ["o"], "n_o").filter("n_o = 3").count() == 3
 

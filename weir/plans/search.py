@@ -310,6 +310,10 @@ ORACLE = {
     "state_specialty": _P + ", c as (select state, taxonomy_description, count(*) n from p where state is not null and taxonomy_description is not null group by 1, 2) select state, taxonomy_description, n from c qualify row_number() over (partition by state order by n desc, taxonomy_description) = 1",
     "name_audit": f"with r as (select source_sheet, source_row, candidate_npi, array_to_string(list_filter(string_split({_TEXT('company_name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') = array_to_string(list_filter(string_split({_TEXT('candidate_legal_name')}, ' '), lambda x: x <> '' and x not in ({_SUFFIXES})), ' ') a, nullif(regexp_extract(regexp_replace(source_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') s, nullif(regexp_extract(regexp_replace(candidate_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') p, nullif(regexp_extract(regexp_replace(candidate_auth_phone, '[^0-9]', '', 'g'), '^1?([0-9]{{10}})$', 1), '') q, coalesce(lower(string_split(trim(authorized_person), ' ')[-1]) = lower(string_split(trim(candidate_authorized_person), ' ')[-1]), false) c from pis_to_resolve_recheck where candidate_npi is not null), g as (select source_sheet, source_row, candidate_npi, bool_or(a) same_name, bool_or(coalesce(s = p or s = q, false)) same_phone, bool_or(c) same_person from r group by all), n as (select *, same_name::int + same_phone::int + same_person::int agreed from g) select *, row_number() over (partition by source_sheet, source_row order by agreed desc, candidate_npi) \"rank\" from n",
     "accepted_split": "with l as (select source_sheet, source_row, bool_or(recommendation = 'Accept candidate') a from pis_to_resolve_recheck group by all) select source_sheet, count(*) filter (a) accepted, count(*) filter (not a) remaining from l group by 1",
-    "branches": _KEYS.split(",\n  ph as")[0] + ", v as (select npi, nullif(n, '') n, nullif(o, '') o, p[1] p from u), w as (select npi, case when o is not null and p is not null then min(npi) over (partition by o, p) end a, case when n is not null and o is not null then min(npi) over (partition by n, o) end b from v) select npi, coalesce(nullif(a, npi), nullif(b, npi), npi) branch from w",
+    "branches": _KEYS.replace("with k", "with recursive k", 1).split(",\n  ph as")[0] + """, ph as (select npi, n, o, unnest(list_distinct(p)) p from u),
+      h as (select distinct npi, 'op|' || o || '|' || p k from ph where o <> '' and trim(p) <> '' union select npi, 'no|' || n || '|' || o from u where n <> '' and o <> ''),
+      l as (select k, min(npi) m from h group by k), s as (select distinct npi a, m b from h join l using (k) where npi <> m), e as (select a, b from s union select b, a from s),
+      reach(s, v) as (select a, a from e union select s, b from reach join e on v = a where b > s), f as (select v, min(s) branch from reach group by v)
+      select npi, coalesce(branch, npi) branch from u left join f on v = npi""",
     "plan_equivalence": "select 0::bigint differences",
 }
