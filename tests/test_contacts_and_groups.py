@@ -5,8 +5,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from weir.operators import activity as V
+from weir.operators import apply as A
+from weir.operators import callbook as B
 from weir.operators import contacts as K
 from weir.operators import groups as U
+from weir.operators import identity as I
+from weir.operators import related as N
 
 DAY = dt.datetime(2024, 1, 1)
 at = lambda h: DAY + dt.timedelta(hours=h)
@@ -143,3 +148,40 @@ def test_verdicts_and_filling(spark):
     ours = spark.createDataFrame([("1", "old", " ", None), ("2", "old", "5", "x")], "k string, name string, phone string, line string")
     told = spark.createDataFrame([("1", "new", "9"), ("1", "newer", "9"), ("2", "new", "9")], "k string, name string, phone string")
     assert rows_of(U.filled(ours, told, "k", theirs_first=["name"], ours_first=["phone"], lacking=F.col("line").isNull())) == [("1", "new", "9", None), ("2", "old", "5", "x")]
+
+
+def test_call_book(spark):
+    rows = [("212-555-0100", "2024-01-02 10:00", "95", " Ann  Lee ", "x"), ("212-555-0100", "1/2/2024 10:00 AM", "1:35", "Ann Lee", None), ("212", "2024-01-02", "1", None, None), ("2125550100", "soon", None, None, None), ("2125550100", "2030-01-01", None, None, None), (None, None, None, None, None), ("2125550101", "2024-01-02", "99999999", None, "no answer")]
+    calls = B.read_calls(spark.createDataFrame(rows, "phone string, at string, length string, agent string, result string"), F.lit(at(48)))
+    reasons = [r.reason for r in calls.collect()]
+    assert reasons == [None, None, "no valid phone number", "no valid date", "date out of range", "no valid phone number", None]
+    assert rows_of(B.new_calls(calls, calls.limit(0)).select("agent", "phone", "seconds", "result")) == [("", "2125550101", None, "no answer"), ("Ann Lee", "2125550100", 95, "x")]
+    assert B.new_calls(calls, calls.filter("agent = 'Ann Lee'").limit(1)).count() == 1
+    assert rows_of(B.call_totals(B.new_calls(calls, calls.limit(0)), "agent")) == [("", 1, 0, 0), ("Ann Lee", 1, 1, 2)]
+
+
+def test_deliveries_applied(spark):
+    schema = "npi string, claims double"
+    live = spark.createDataFrame([("1", 10.0), ("2", 10.0), ("3", 10.0), ("4", None), ("5", 1.0)], schema)
+    new = spark.createDataFrame([("1", 4.0), ("2", 10.0), ("3", None), ("4", 1.0), ("6", 1.0), ("7", 1.0)], schema)
+    known = spark.createDataFrame([(str(i),) for i in (1, 2, 3, 4, 6)], "npi string")
+    got = A.applied(A.compared(live, new, "npi", ["claims"]), "npi", ["claims"], known, known.filter("npi = '1'"), "claims")
+    assert rows_of(got) == [("inserted", 1, 0), ("skipped", 1, 0), ("unchanged", 1, 0), ("updated", 3, 1)]
+    both = A.compared(live, new, "npi", ["claims"])
+    assert "4" not in {r.npi for r in A.field_history(both, "npi", ["claims"], first_fill=["claims"]).collect()} and "4" in {r.npi for r in A.field_history(both, "npi", ["claims"]).collect()}
+    history = spark.createDataFrame([("1", "r", "b", None, "2"), ("1", "r", "a", None, "1"), ("1", "r", "a", None, "1"), ("2", "r", "a", None, "1"), ("1", None, "a", None, "1"), ("1", "s", "record_created", None, '{"a": 1}')], "npi string, run string, field_name string, old_value string, new_value string")
+    assert rows_of(A.alerts(history, known.filter("npi = '1'"), "npi", "run", ["b"])) == [("1", "r", 2, "a,b", True), ("1", "s", 1, "record_created", False)]
+    wide = history.filter("run = 's'").unionByName(history.limit(1).withColumn("new_value", F.lit('{"b": "x", "c": 1}')))
+    assert {r.new_value for r in A.compacted(wide).collect()} == {'{"present":true}', "x"}
+
+
+def test_years_builds_and_clusters(spark):
+    rows = [("s", 1997, 5), ("t", 1996, 5), ("n", 1995, 1), ("n", 1997, 1), ("u", 1996, 10), ("u", 1997, 11), ("d", 1996, 10), ("d", 1997, 8), ("f", 1996, 10), ("f", 1997, 10), ("f", 1999, 1)]
+    df = spark.createDataFrame([(k, dt.datetime(y, 1, 1), a) for k, y, a in rows], "k string, at timestamp_ntz, a int")
+    assert {r.k: r.kind for r in V.year_kinds(df, "k", "at", F.col("a"), 1997).collect()} == {"s": "single", "t": "stopped", "n": "new", "u": "up", "d": "down", "f": "flat"}
+    stored = spark.createDataFrame([("1", "2", "a", "b"), ("1", "3", "a", "b"), ("1", None, "a", "b")], "left_npi string, right_npi string, first_build_id string, last_build_id string")
+    now = spark.createDataFrame([("1", "2"), ("2", "3"), ("2", "3")], "left_npi string, right_npi string")
+    assert rows_of(I.build_lifecycle(stored, now, "c")) == [("1", "2", "a", "c", "kept"), ("1", "3", "a", "b", "dropped"), ("2", "3", "c", "c", "new")]
+    people = [("1", "p", None), ("2", "p", "x"), ("3", "q", "x"), ("4", None, None), *[(f"b{i}", "big", None) for i in range(5)]]
+    found = N.clusters(spark.createDataFrame(people, "id string, p string, o string"), "id", [(["p"], 4), (["o"], 4)])
+    assert {r.id: r.branch for r in found.collect()} == {"1": "1", "2": "1", "3": "1", "4": "4", **{f"b{i}": f"b{i}" for i in range(5)}}

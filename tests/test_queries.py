@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 from compare import frame_of
-from weir.plans import analytics, contacts, groups, registry, search
+from weir.plans import analytics, contacts, deliveries, groups, registry, search
 
 SF = "/root/testdata/sf0.001"
-MODULES = (registry, search, analytics, contacts, groups)
+MODULES = (registry, search, analytics, contacts, groups, deliveries)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 

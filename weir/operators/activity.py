@@ -105,6 +105,16 @@ def year_trend(df: DataFrame, by: str, at: str, amount: Column, up: float = 0.1,
     return years.withColumn("trend", F.when(before.isNull() | (before == 0), "new").when(change >= up, "up").when(change <= down, "down").otherwise("flat"))
 
 
+def year_kinds(df: DataFrame, by: str, at: str, amount: Column, last: int, up: float = 0.1, down: float = -0.2) -> DataFrame:
+    """(by, years, kind) of each group up to the year `last`: single, stopped (nothing in it), new, up, down or flat against the year before."""
+    years = df.filter(F.year(at) <= last).groupBy(by, F.year(at).alias("year")).agg(F.sum(amount).alias("amount"))
+    of = lambda y: F.coalesce(F.max(F.when(F.col("year") == y, F.col("amount"))), F.lit(0))
+    both = years.groupBy(by).agg(F.count("*").alias("years"), of(last).cast("double").alias("now"), of(last - 1).cast("double").alias("before"))
+    change = (F.col("now") - F.col("before")) / F.col("before")
+    kind = F.when(F.col("now") == 0, "stopped").when(F.col("years") == 1, "single").when(F.col("before") == 0, "new").when(change >= up, "up").when(change <= down, "down").otherwise("flat")
+    return both.select(by, "years", kind.alias("kind"))
+
+
 def funnel(df: DataFrame, who: str, stage: Column, stages: Sequence[str]) -> DataFrame:
     """(stage, reached, of_previous): how many reached each stage; a later stage implies the ones before."""
     level = F.lit(None).cast("int")

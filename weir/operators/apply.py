@@ -29,11 +29,14 @@ def classify(both: DataFrame, fields: Sequence[str], form: Callable[[str, Column
     return both.withColumn("action", action)
 
 
-def field_history(both: DataFrame, key: str, fields: Sequence[str], form: Callable[[str, Column], Column] = canonical) -> DataFrame:
-    """(key, field_name, old_value, new_value): a row for each field that an update changes, and `record_created` for an insert."""
+def field_history(both: DataFrame, key: str, fields: Sequence[str], form: Callable[[str, Column], Column] = canonical, *, first_fill: Sequence[str] = ()) -> DataFrame:
+    """(key, field_name, old_value, new_value): a row for each field that an update changes, and `record_created` for an insert.
+
+    A field of first_fill that had no value before changes nothing by getting one.
+    """
     text = lambda c: F.col(c).cast("string")
     structs = [
-        F.struct(F.lit(f).alias("field_name"), text(f"old_{f}").alias("old_value"), text(f"new_{f}").alias("new_value"), (~form(f, F.col(f"old_{f}")).eqNullSafe(form(f, F.col(f"new_{f}")))).alias("differs"))
+        F.struct(F.lit(f).alias("field_name"), text(f"old_{f}").alias("old_value"), text(f"new_{f}").alias("new_value"), (~form(f, F.col(f"old_{f}")).eqNullSafe(form(f, F.col(f"new_{f}"))) & (F.col(f"old_{f}").isNotNull() | F.lit(f not in first_fill))).alias("differs"))
         for f in fields
     ]
     changed = both.filter("in_old and in_new").select(key, F.explode(F.array(*structs)).alias("c")).filter("c.differs")
@@ -60,6 +63,31 @@ def drops(both: DataFrame, key: str, field: str, below: float = 0.5) -> DataFram
     return both.filter("in_old and in_new").filter((old > 0) & (new < old * below)).select(key, old.alias("old"), new.alias("new"), F.round((1 - new / old) * 100, 1).alias("drop_pct"))
 
 
+def compacted(history: DataFrame) -> DataFrame:
+    """history as it is kept: of a created record only that it is there, of a change only its own field of a JSON record."""
+    created = F.col("field_name") == "record_created"
+    own = lambda c: F.when(F.col(c).startswith("{"), F.try_element_at(F.from_json(c, "map<string,string>"), F.col("field_name"))).otherwise(F.col(c))
+    return history.withColumns({"old_value": F.when(~created, own("old_value")), "new_value": F.when(created, '{"present":true}').otherwise(own("new_value"))})
+
+
+def applied(both: DataFrame, key: str, fields: Sequence[str], known: DataFrame, watched: DataFrame, alert: str, form: Callable[[str, Column], Column] = canonical, below: float = 0.5) -> DataFrame:
+    """(action, n, alerts): what applying a delivery does: rows of keys that aren't known are skipped, absent ones stay.
+
+    A watched key whose `alert` field falls under a share of its old value, which must be positive, raises one alert.
+    """
+    flags = classify(both, fields, form).filter("in_new").join(known.select(key, F.lit(True).alias("__known")).dropna().distinct(), key, "left").join(watched.select(key, F.lit(True).alias("__watched")).dropna().distinct(), key, "left")
+    action = F.when(F.col("__known").isNull(), "skipped").otherwise(F.col("action"))
+    old, new = F.col(f"old_{alert}"), F.coalesce(F.col(f"new_{alert}"), F.lit(0.0))
+    drop = F.col("__known") & F.col("__watched") & (old > 0) & (new < old * below)
+    return flags.groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(drop, F.lit(False))).alias("alerts"))
+
+
+def alerts(history: DataFrame, watched: DataFrame, key: str, run: str, escalating: Sequence[str]) -> DataFrame:
+    """(key, run, changes, list, escalates): one alert for each watched key and run, with its changed fields in order."""
+    rows = history.dropna(subset=[key, run]).join(watched.select(key).dropna().distinct(), key, "left_semi").select(key, run, "field_name").distinct()
+    return rows.groupBy(key, run).agg(F.count("*").alias("changes"), F.array_join(F.sort_array(F.collect_list("field_name")), ",").alias("list"), F.max(F.col("field_name").isin(*escalating)).alias("escalates"))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by an explicit order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

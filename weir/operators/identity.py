@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.functions import text as X
 from weir.operators.buckets import bucket_members
 
 #: The tiers' rules, first match wins; n name, s state, o official, p phone.
@@ -52,6 +53,28 @@ def build_delta(before: DataFrame, now: DataFrame) -> DataFrame:
     return old.join(new, pair, "full").agg(F.count("new").alias("pairs"), F.count_if(F.col("old").isNull()).alias("new_pairs"), F.count_if(F.col("new").isNull()).alias("removed_pairs"))
 
 
+def built_keys(providers: DataFrame) -> DataFrame:
+    """(npi, name_key, state_key, official_key, phones, keys_hash) of the organizations that can match: a name, and an official or a phone.
+
+    providers has npi, name, state, the official's names and phone, phone, and is_organization or enumeration_type.
+    """
+    ten = lambda c: F.nullif(F.regexp_extract(F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", ""), "^1?([0-9]{10})", 1), F.lit(""))
+    rows = providers.filter(F.coalesce("is_organization", F.col("enumeration_type") == "NPI-2", F.lit(False))).select(
+        F.trim("npi").alias("npi"), X.name_key(F.col("name")).alias("name_key"), X.state_key(F.col("state")).alias("state_key"), X.official_key(F.col("official_first_name"), F.col("official_last_name")).alias("official_key"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(ten(F.col("phone")), ten(F.col("official_phone")))))).alias("phones"),
+    ).filter((F.col("name_key") != "") & ((F.col("official_key") != "") | (F.size("phones") > 0))).distinct()
+    return rows.withColumn("keys_hash", F.md5(F.concat_ws("|", "name_key", "state_key", "official_key", F.array_join("phones", ","))))
+
+
+def build_lifecycle(stored: DataFrame, now: DataFrame, build: str) -> DataFrame:
+    """(left_npi, right_npi, first_build_id, last_build_id, state) of stored pairs and those of this build: new, kept or dropped."""
+    pair = ["left_npi", "right_npi"]
+    old = stored.dropna(subset=pair).groupBy(*pair).agg(F.min("first_build_id").alias("first"), F.max("last_build_id").alias("last"))
+    both = old.withColumn("was", F.lit(True)).join(now.select(*pair, F.lit(True).alias("is")).distinct(), pair, "full")
+    state = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "dropped").otherwise("kept")
+    return both.select(*pair, F.coalesce("first", F.lit(build)).alias("first_build_id"), F.when(F.col("is"), F.lit(build)).otherwise(F.col("last")).alias("last_build_id"), state.alias("state"))
+
+
 def undecided(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs that aren't in one group already, each unordered pair once with its best tier, with the sides' groups."""
     unordered = pairs.select(F.least("left_npi", "right_npi").alias("left_npi"), F.greatest("left_npi", "right_npi").alias("right_npi"), "tier").filter("left_npi < right_npi")

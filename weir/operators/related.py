@@ -37,6 +37,16 @@ def related(df: DataFrame, id: str, rules: dict[str, tuple[Sequence[str], int]],
     return merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).select(id, "other", "why")
 
 
+def clusters(df: DataFrame, id: str, rules: Sequence[tuple[Sequence[str], int]]) -> DataFrame:
+    """(id, branch): records that share the keys of a rule through any number of others; a key of more than its cap says nothing."""
+    keyed = df
+    for i, (keys, cap) in enumerate(rules):
+        distinct = df.select(id, *keys).dropna().distinct().groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n").between(2, cap))
+        small = distinct.select(*keys, F.concat_ws("|", *keys).alias(f"__k{i}"))
+        keyed = keyed.join(small, list(keys), "left")
+    return branches_merged(keyed.select(id, *[f"__k{i}" for i in range(len(rules))]), [[f"__k{i}"] for i in range(len(rules))], id)
+
+
 def most_common(df: DataFrame, by: Sequence[str], value: str, count: str = "n") -> DataFrame:
     """(by, value, count): the most frequent value of each group, the smallest among equals; nulls don't count."""
     counted = df.dropna(subset=[value]).groupBy(*by, value).agg(F.count("*").alias("__times"))
