@@ -50,6 +50,13 @@ def test_sets_like_brute_force(spark):
     assert sets(spark, links) == sets_by_brute_force(links)
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_chains_may_be_followed_by_halves(spark, monkeypatch, share):
+    monkeypatch.setattr(K, "MOVING_SHARE", share)
+    links = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("h", f"c{i:03d}") for i in range(0, 60, 30)] + [("x", "y")]
+    assert sets(spark, links) == sets_by_brute_force(links)
+
+
 def test_sets_edges(spark):
     assert sets(spark, []) == {} == sets(spark, [("a", "a"), (None, None)])
     assert sets(spark, [("b", "a")]) == {"a": "a", "b": "a"}

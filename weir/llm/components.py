@@ -4,8 +4,8 @@
    the frontiers still make up a fair part of what was reached. The vertices behind the last frontier are anti-joined
    away; none of them touches a vertex that wasn't reached.
 2. The remaining small components, and what hangs on the last frontier, are labelled by minimum propagation: each vertex
-   takes the least of itself and its neighbours, least vertices are followed to their ends by doubling, and vertices
-   contract onto them, until no edge is left. The end of a vertex is the least vertex of its component.
+   takes the least of itself and its neighbours, least vertices are followed towards their ends by doubling, and vertices
+   contract onto them, until no edge is left. The last end of a vertex is the least vertex of its component.
 3. A component that holds a vertex of the last frontier belongs to the giant.
 
 Each step is a written table in the shared folder, so that lost executors cost only their own tasks.
@@ -23,6 +23,8 @@ from weir.scratch import Scratch
 #: A frontier below this share of the vertices reached ends the peeling, so that a long tail of the giant doesn't cost a
 #: join a step; minimum propagation labels what hangs on it.
 FRONTIER_SHARE = 0.05
+#: Chains that are followed further while more than this share of the vertices is still on the way; the rest goes on after the contraction.
+MOVING_SHARE = 0.02
 
 
 def star_links(members: DataFrame, group: str, vertex: str, spread: int = 64) -> DataFrame:
@@ -61,11 +63,11 @@ def _peel(edges: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], int]:
 
 
 def _least_ends(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, p): the end of each vertex's chain of least neighbours. A step follows four pointers of the one before."""
+    """(v, p): the end of each vertex's chain of least neighbours, for nearly all. A step follows four pointers of the one before."""
     least = edges.groupBy("src").agg(F.min("dst").alias("n"))
-    pointers = scratch.keep(least.select(F.col("src").alias("v"), F.least("n", "src").alias("p")))
-    moved = 1
-    while moved:
+    pointers, size = scratch.keep_counted(least.select(F.col("src").alias("v"), F.least("n", "src").alias("p")))
+    moved = size
+    while moved > MOVING_SHARE * size:
         on = lambda a, b: pointers.select(F.col("v").alias(a), F.col("p").alias(b))
         ahead = pointers.join(on("p", "q"), "p").join(on("q", "r"), "q").join(on("r", "s"), "r")
         further, moved = scratch.keep_counted(ahead.select("v", F.col("s").alias("p"), (F.col("s") != F.col("r")).alias("moved")), F.col("moved"))
