@@ -5,10 +5,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from weir.functions import labels as L
 from weir.operators import activity as V
 from weir.operators import apply as A
 from weir.operators import callbook as B
 from weir.operators import contacts as K
+from weir.operators import criteria as C
 from weir.operators import groups as U
 from weir.operators import identity as I
 from weir.operators import related as N
@@ -67,7 +69,9 @@ def test_pages_samples_and_best(spark):
     rows = [("b", i) for i in range(5)] + [("a", 10), ("c", 20), ("c", 21)]
     df = spark.createDataFrame(rows, "v string, n int")
     assert [tuple(r)[:2] for r in K.quota_page(df, "v", [F.col("n")], 5).collect()] == [("a", 10), ("b", 0), ("c", 20), ("b", 1), ("c", 21)]
-    assert K.sample_rows(df, "n", 3, 7).collect() == K.sample_rows(df.repartition(5), "n", 3, 7).collect() != K.sample_rows(df, "n", 3, 8).collect()
+    assert K.sample_rows(df, "n", 3, "7").collect() == K.sample_rows(df.repartition(5), "n", 3, "7").collect() != K.sample_rows(df, "n", 3, "8").collect()
+    lists = K.capped_lists(df, {"even": (F.col("n") % 2 == 0, [F.desc("n")], 2), "b": (F.col("v") == "b", [F.asc("n")], 9)}, ["n"])
+    assert [r.n for r in lists.filter("list = 'even'").orderBy("place").collect()] == [20, 10] and lists.filter("list = 'b'").count() == 5
     assert rows_of(K.best_of(df, "v", "n", [(F.col("n") % 2 == 1, 3), (F.col("n") > 3, 1)])) == [("a", 10, 1), ("b", 1, 3), ("c", 21, 4)]
 
 
@@ -185,3 +189,28 @@ def test_years_builds_and_clusters(spark):
     people = [("1", "p", None), ("2", "p", "x"), ("3", "q", "x"), ("4", None, None), *[(f"b{i}", "big", None) for i in range(5)]]
     found = N.clusters(spark.createDataFrame(people, "id string, p string, o string"), "id", [(["p"], 4), (["o"], 4)])
     assert {r.id: r.branch for r in found.collect()} == {"1": "1", "2": "1", "3": "1", "4": "4", **{f"b{i}": f"b{i}" for i in range(5)}}
+
+
+def test_keys_of_labels(spark):
+    df = spark.createDataFrame([("H & R HEALTHCARE, L.P.", "Dr. Ann Lee", " tx ", "E0651"), ("H&R Healthcare L P", "Ann", "TX", "A6549"), (None, None, None, "x")], "name string, owner string, state string, code string")
+    keys = df.select(L.display_key(F.col("name"), ["lp"]), L.owner_state_key(F.col("owner"), F.col("state")), L.code_in(F.col("code"), [("E", 650, 652), ("A", 6530, 6549)])).collect()
+    assert [tuple(r) for r in keys] == [("h r healthcare", "ann lee|TX", True), ("h r healthcare", None, True), ("", None, False)]
+    ids = spark.createDataFrame([("1", "n", "o", "p"), ("2", "n", "", "p"), ("3", None, "o", "p")], "npi string, n string, o string, p string")
+    assert [r[0] for r in ids.select(L.identity_key(*[F.col(c) for c in ids.columns])).collect()] == ["group:n|o|p", "singleton:2", "singleton:3"]
+    assert len({r[0] for r in ids.select(L.row_md5(*[F.col(c) for c in ids.columns])).collect()}) == 3
+    days = spark.createDataFrame([("2024-01-01",), ("2024-12-31",), ("2026-01-01",), (None,)], "d string").select(L.months_old(F.col("d").cast("date"), F.lit("2025-01-01").cast("date")))
+    assert [r[0] for r in days.collect()] == [12, 0, None, None]
+
+
+def test_lists_texts_and_stale_codes(spark):
+    df = spark.createDataFrame([("1", "Acme Health-Supply", "Ann Lee", "212-555-0100"), ("2", "Acme healthsupply", "ANN  LEE!", None), ("3", None, None, None)], "id string, name string, official string, phone string")
+    on = lambda **k: {r.id for r in C.listed(df, "name", k.get("c", []), "official", k.get("o", [])).filter("listed").collect()}
+    assert on(c=["health supply", ""]) == {"1"} and on(o=["ann lee"]) == {"1", "2"} and on() == set()
+    found = lambda term: {r.id for r in df.filter(C.text_matches(["name", "official"], term, ["phone"])).collect()}
+    assert found(" HEALTH") == {"1", "2"} and found("+1 (212) 555-0100") == {"1"} and found("_") == found("%") == set()
+    codes = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    counted = spark.createDataFrame([("a", at(0)), ("a", at(10)), ("b", at(0)), (None, at(10))], "k string, at timestamp_ntz")
+    assert {r.k for r in C.stale(codes, counted, "k", "at", "2024-01-01 12:00:00", 3).collect()} == {"b", "c"}
+    first = spark.createDataFrame([("9",)], "n string")
+    near = N.related(spark.createDataFrame([("1", "p"), ("2", "p"), ("9", "p")], "id string, k string"), "id", {"k": (["k"], 5)}, top=1, first=first)
+    assert {(r.id, r.other) for r in near.collect()} == {("1", "9"), ("2", "9"), ("9", "1")}

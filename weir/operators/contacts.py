@@ -113,9 +113,22 @@ def quota_page(df: DataFrame, variant: str, order: Sequence[Column], limit: int)
     return ranked.orderBy("turn", variant).limit(limit)
 
 
-def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows at random, the same for the same seed whatever the partitions: those of the least hashes of seed and key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def sample_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows at random, the same for the same seed whatever the partitions: those of the least MD5 of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+def capped_lists(df: DataFrame, lists: Mapping[str, tuple[Column, Sequence[Column], int]], columns: Sequence[str]) -> DataFrame:
+    """(list, place, columns): for each named list the first rows that meet its condition, in its order, up to its cap.
+
+    A row may be on several lists. Each is a top-k, so that only cap rows of a task reach the final step.
+    """
+    out = []
+    for name, (fits, order, cap) in lists.items():
+        first = df.filter(fits).orderBy(*order).limit(cap)
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))  # of cap rows
+        out.append(first.select(F.lit(name).alias("list"), place.alias("place"), *columns))
+    return reduce(DataFrame.unionByName, out)
 
 
 def best_of(df: DataFrame, by: str, id: str, facts: Sequence[tuple[Column, int]]) -> DataFrame:

@@ -184,6 +184,34 @@ def longest_term(df: DataFrame, text: str, terms: Iterable[str]) -> DataFrame:
     return df.withColumn("term", hit)
 
 
+def listed(df: DataFrame, name: str, companies: Iterable[str], official: str, officials: Iterable[str]) -> DataFrame:
+    """df with `listed`: whether the name holds one of the companies as words, or the official is one of the officials.
+
+    Both sides are compared in small letters and digits, words apart by one space; lists are literals of the plan.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    clean = lambda values: sorted({re.sub("[^a-z0-9]+", " ", v.lower()).strip() for v in values} - {""})
+    text, hit = F.concat(F.lit(" "), plain(F.col(name)), F.lit(" ")), F.lit(False)
+    for company in clean(companies):
+        hit = hit | text.contains(f" {company} ")
+    return df.withColumn("listed", hit | plain(F.col(official)).isin(clean(officials)))
+
+
+def text_matches(columns: Sequence[str], term: str, phones: Sequence[str] = ()) -> Column:
+    """Whether any of the columns holds a text, any case and wildcards taken as they are, or, if it has ten digits, a phone is that."""
+    out = reduce(Column.__or__, [F.coalesce(F.contains(F.lower(c), F.lit(term.strip().lower())), F.lit(False)) for c in columns])
+    digits = re.sub(r"\D", "", term)
+    for c in phones if len(digits) >= 10 else ():
+        out = out | (last_ten(F.col(c)) == digits[-10:])
+    return out
+
+
+def stale(codes: DataFrame, counted: DataFrame, key: str, at: str, now: str, hours: int) -> DataFrame:
+    """The codes that were never counted, or longer than so many hours (one at least) before `now`."""
+    fresh = counted.filter(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {max(1, hours)} hours"))
+    return codes.join(fresh.select(key).dropna().distinct(), key, "left_anti")
+
+
 def removable(df: DataFrame, key: str, keep: Sequence[DataFrame]) -> DataFrame:
     """Rows whose key is in none of the keep sets; a null key in a set protects nothing."""
     protected = reduce(DataFrame.unionByName, [k.select(key) for k in keep]).dropna().distinct()
@@ -191,6 +219,6 @@ def removable(df: DataFrame, key: str, keep: Sequence[DataFrame]) -> DataFrame:
 
 
 def after(df: DataFrame, keys: Sequence[str], cursor: Sequence, limit: int) -> DataFrame:
-    """The page behind a cursor of key values, with one row more that tells whether there is another page."""
+    """The page of 1 to 200 rows behind a cursor of key values, with one row more that tells whether there is another page."""
     position = F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, cursor)])
-    return df.filter(position).orderBy(*keys).limit(limit + 1)
+    return df.filter(position).orderBy(*keys).limit(min(200, max(1, limit)) + 1)

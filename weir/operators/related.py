@@ -19,9 +19,11 @@ def with_key_size(df: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     return df.join(counted, list(keys), "left")
 
 
-def related(df: DataFrame, id: str, rules: dict[str, tuple[Sequence[str], int]], top: int = 3) -> DataFrame:
+def related(df: DataFrame, id: str, rules: dict[str, tuple[Sequence[str], int]], top: int = 3, first: DataFrame | None = None) -> DataFrame:
     """(id, other, why): up to `top` others of each record that share a rule's keys, the most reasons first, then the smallest id.
 
+    With first, a table of ids, its records go before all others.
+
     A rule only pairs keys of at most its cap of records, as a key of many means nothing; that bounds its pairs by cap
     times the records. Nulls are no key.
     """
@@ -33,7 +35,10 @@ def related(df: DataFrame, id: str, rules: dict[str, tuple[Sequence[str], int]],
         pairs = small.join(small.withColumnRenamed(id, "other"), list(keys)).filter(F.col(id) != F.col("other")).select(id, "other", F.lit(why).alias("why"))
         found = pairs if found is None else found.unionByName(pairs)
     merged = found.groupBy(id, "other").agg(F.array_join(F.sort_array(F.collect_set("why")), "+").alias("why"), F.countDistinct("why").alias("n"))
-    best = Window.partitionBy(id).orderBy(F.desc("n"), "other")  # at most the sum of the caps in a partition
+    if first is not None:
+        merged = merged.join(first.select(F.col(first.columns[0]).alias("other"), F.lit(1).alias("__first")).dropna().distinct(), "other", "left")
+    order = [F.desc("n"), F.asc("other")] if first is None else [F.desc_nulls_last("__first"), F.desc("n"), F.asc("other")]
+    best = Window.partitionBy(id).orderBy(*order)  # at most the sum of the caps in a partition
     return merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).select(id, "other", "why")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import labels as L
 from weir.functions import text as X
+from weir.operators import contacts as K
 from weir.operators import criteria as C
 from weir.operators import groups as U
 from weir.operators import identity as I
@@ -173,11 +174,63 @@ def flat_providers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def provider_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty providers at random."""
+    return K.sample_rows(table(spark, sf, "search_providers").select("npi", "state").distinct(), "npi", 40, "seed")
+
+
+def work_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups to look at: those that wait for a review, the largest tiers left open, and the ones longest without a change."""
+    rows = table(spark, sf, "lead_groups").select("id", "review_status", "grouping_tier", "updated_at").distinct()
+    pending = F.coalesce(F.col("review_status") == "pending", F.lit(False))
+    lists = {
+        "review": (pending, [F.asc_nulls_last("updated_at"), F.asc("id")], 50),
+        "cross_state": (F.coalesce(F.col("grouping_tier") == "cross_state", F.lit(False)) & ~pending, [F.desc_nulls_last("updated_at"), F.asc("id")], 6),
+        "quiet": (F.col("updated_at") < F.lit("2025-01-01").cast("timestamp_ntz"), [F.asc("updated_at"), F.asc("id")], 60),
+    }
+    return K.capped_lists(rows, lists, ["id"])
+
+
+def group_rows(spark: SparkSession, sf: str, term: str) -> DataFrame:
+    rows = table(spark, sf, "lead_groups").select("id", "canonical_name", "state", "authorized_official", "phone_key", "review_status", "updated_at").distinct()
+    return rows.filter(C.text_matches(["canonical_name", "authorized_official", "state"], term, ["phone_key"]))
+
+
+def group_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of ten groups that mention a word, the newest first."""
+    return group_rows(spark, sf, " Medical ").orderBy(F.desc_nulls_last("updated_at"), "id").offset(10).limit(10).select("id", "canonical_name")
+
+
+def group_list_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many groups mention it, by where they stand, in one scan."""
+    status = F.coalesce("review_status", F.lit(""))
+    rows = group_rows(spark, sf, " Medical ")
+    return rows.agg(F.count("*").alias("found"), F.count_if(status == "pending").alias("pending"), F.count_if(status == "approved").alias("approved"), F.count_if(F.col("updated_at") < F.lit("2025-07-01").cast("timestamp_ntz")).alias("old"))
+
+
+def listed_providers(spark: SparkSession, sf: str) -> DataFrame:
+    """Providers whose name holds words of a list, or whose official is on one."""
+    rows = table(spark, sf, "search_providers").select("npi", "name", F.concat_ws(" ", "official_first_name", "official_last_name").alias("official")).distinct()
+    return C.listed(rows, "name", ["Health Supply", "OXYGEN"], "official", ["Katrin Undincalrel", "leoni grenotane"]).filter("listed").select("npi")
+
+
+def stale_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Taxonomies of which no provider was updated in the last five days."""
+    rows = table(spark, sf, "search_providers").select("taxonomy_code", F.col("last_updated").try_cast("timestamp_ntz").alias("at"))
+    return C.stale(rows.select("taxonomy_code").dropna().distinct(), rows, "taxonomy_code", "at", f"{NOW} 00:00:00", 24 * 5)
+
+
+def related_grouped_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to two others of each provider by phone or official and state, those in a group first."""
+    rows = table(spark, sf, "search_providers").select("npi", X.national_number(F.col("phone")).alias("p"), F.nullif(X.official_key(F.col("official_first_name"), F.col("official_last_name")), F.lit("")).alias("o"), "state").distinct()
+    return N.related(rows, "npi", {"phone": (["p"], 6), "owner": (["o", "state"], 8)}, top=2, first=members(spark, sf).select("npi"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         identity_rows, new_members, key_states, group_moves, owner_conflicts, undecided_groups, merge_preview, merged_groups, candidate_matches, exact_matches, preflight, import_verdicts, filled_candidates, search_sorts, search_lookups,
-        search_relaxations, team_filters, page_overlap, flat_providers,
+        search_relaxations, team_filters, page_overlap, flat_providers, provider_sample, work_lists, group_list, group_list_counts, listed_providers, stale_codes, related_grouped_first,
     )
 }
 
@@ -224,4 +277,15 @@ ORACLE = {
     "team_filters": f"with {_S}, a as (select *, npi in (select trim(npi) from lead_group_members where npi is not null) or npi in (select left_npi from registry_match_candidates where left_npi is not null) t, npi in (select trim(npi) from lead_group_members where npi is not null and evidence ->> '$.rule' = 'manual') g, npi in (select trim(npi) from lead_group_members where npi is not null and review_status = 'pending') o from s where {_ORG}) " + " union all ".join(f"select 'team{i}' pick, count(*) n from a where {w}" for i, w in enumerate(["last_updated >= '2023-12-31'", "last_updated <= '2010-12-31'", "not t", "g", "o", "not t and trim(coalesce(phone, '')) <> '' and upper(trim(state)) in ('TX', 'CA')"])),
     "page_overlap": f"with {_S}, a as (select npi, row_number() over (order by name nulls last, npi) r from s where {_ORG}) select count(*) twice from (select npi from a where r <= 50 intersect select npi from a where r between 51 and 100)",
     "flat_providers": f"with {_S} select npi, coalesce(enumeration_type, case when is_organization then 'NPI-2' else 'NPI-1' end) kind, {_CLEAN('name')} as name, concat_ws(', ', {', '.join(_CLEAN(c) for c in ('address_line1', 'address_line2', 'city', 'state', 'postal_code'))}) address, strftime(try_cast(left(last_updated, 10) as date), '%m/%d/%Y') updated, {_CLEAN(chr(99) + 'oncat_ws(' + repr(' ') + ', official_first_name, official_last_name)')} official, coalesce(medicare_total_claims, 0) claims from s",
+    "provider_sample": "select npi, state from (select distinct npi, state from search_providers) order by md5('seed|' || npi), npi limit 40",
+    "work_lists": "with g as (select distinct id, review_status s, grouping_tier t, updated_at u from lead_groups), a as (select 'review' list, id, row_number() over (order by u nulls last, id) place from g where s = 'pending' union all select 'cross_state', id, row_number() over (order by u desc nulls last, id) from g where t = 'cross_state' and coalesce(s, '') <> 'pending' union all select 'quiet', id, row_number() over (order by u, id) from g where u < timestamp '2025-01-01') select list, place, id from a where place <= case list when 'review' then 50 when 'quiet' then 60 else 6 end",
+    "group_list": "select id, canonical_name from (select distinct id, canonical_name, state, authorized_official, phone_key, review_status, updated_at from lead_groups where canonical_name ilike '%medical%' or authorized_official ilike '%medical%' or state ilike '%medical%') order by updated_at desc nulls last, id limit 10 offset 10",
+    "group_list_counts": "select count(*) found, count(*) filter (review_status = 'pending') pending, count(*) filter (review_status = 'approved') approved, count(*) filter (updated_at < timestamp '2025-07-01') old from (select distinct id, canonical_name, state, authorized_official, phone_key, review_status, updated_at from lead_groups where canonical_name ilike '%medical%' or authorized_official ilike '%medical%' or state ilike '%medical%')",
+    "listed_providers": "with p as (select distinct npi, ' ' || trim(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' n, trim(regexp_replace(lower(concat_ws(' ', official_first_name, official_last_name)), '[^a-z0-9]+', ' ', 'g')) o from search_providers) select npi from p where contains(n, ' health supply ') or contains(n, ' oxygen ') or o in ('katrin undincalrel', 'leoni grenotane')",
+    "stale_codes": f"select distinct taxonomy_code from search_providers where taxonomy_code is not null and taxonomy_code not in (select taxonomy_code from search_providers where taxonomy_code is not null and try_cast(last_updated as timestamp) >= timestamp '{NOW}' - interval 5 day)",
+    "related_grouped_first": f"""with {_M}, q as (select distinct npi, nullif(regexp_extract({_DIG.format('phone')}, '^1?([0-9]{{10}})$', 1), '') p, nullif(array_to_string(list_filter(string_split({_TEXT.format("concat_ws(' ', official_first_name, official_last_name)")}, ' '), lambda x: length(x) > 1), ' '), '') o, state s from search_providers),
+      kp as (select p from q where p is not null group by 1 having count(distinct npi) between 2 and 6), ko as (select o, s from q where o is not null and s is not null group by 1, 2 having count(distinct npi) between 2 and 8),
+      r as (select distinct a.npi, b.npi other, 'phone' why from q a join kp using (p) join q b on a.p = b.p where a.npi <> b.npi union all select distinct a.npi, b.npi, 'owner' from q a join ko using (o, s) join q b on a.o = b.o and a.s = b.s where a.npi <> b.npi),
+      g as (select npi, other, string_agg(why, '+' order by why) why, count(*) n from r group by 1, 2)
+      select npi, other, why from g qualify row_number() over (partition by npi order by other in (select npi from m) desc, n desc, other) <= 2""",
 }
