@@ -93,14 +93,15 @@ def group_values(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lead_group_members").select(F.col("group_id").alias("g"), F.nullif(F.trim("npi"), F.lit("")).alias("member"), "relationship_type")
     members = rows.join(trust, "relationship_type", "left").groupBy("g", "member").agg(F.min(F.coalesce("trust", F.lit(99999999))).alias("trust")).dropna(subset=["g", "member"])
     many = members.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    told = table(spark, sf, "search_providers").select(F.trim("npi").alias("member"), F.nullif(F.trim("last_updated"), F.lit("")).alias("at"), *SURVIVING)
     values = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("value")) for c in SURVIVING])
-    told = table(spark, sf, "search_providers").select(F.trim("npi").alias("member"), F.nullif(F.trim("last_updated"), F.lit("")).alias("at"), F.explode(values).alias("v"))
-    told = told.select("member", "at", F.col("v.f").alias("f"), F.col("v.value").alias("value"))
+    joined = members.join(many, "g", "left_semi").join(told, "member")  # what members say is all that is looked at
+    every = joined.select("g", "member", "trust", "at", F.inline(values))
     is_phone = F.col("f").isin("phone", "official_phone")
-    said = told.filter(says_something(F.col("value")) & (~is_phone | phone_digits(F.col("value")).isNotNull())).distinct()
+    said = every.filter(says_something(F.col("value")) & (~is_phone | phone_digits(F.col("value")).isNotNull()))
     newest_first = F.coalesce(F.translate("at", "0123456789", "9876543210"), F.lit("~"))
     rank = F.concat_ws("|", F.lpad(F.col("trust").cast("string"), 8, "0"), F.rpad(newest_first, 10, "~"), "member")
-    return members.join(many, "g", "left_semi").join(said, "member").select("g", "f", "member", "value", rank.alias("rank"), "trust")
+    return said.select("g", "f", "member", "value", rank.alias("rank"), "trust").distinct()  # a row may be delivered twice
 
 
 def value_tokens():
