@@ -185,6 +185,13 @@ def test_cascade(spark):
     assert none.count() == 0
 
 
+def test_rows_that_say_the_same_meet_once(spark):
+    leads = [(f"l{i:03d}", "Acme Care", "Ann Lee", "2125550100", None) for i in range(300)] + [("other", "Acme Care", "Bo Ray", "2125550100", None)]
+    candidates = [(f"c{i:03d}", "ACME CARE LLC", "ANN LEE", "2125550100", None) for i in range(300)] + [("c", "Acme Care", "Bo Ray", "2125550100", "3125550100")]
+    found = cascade(keyed(spark, leads, "lead"), keyed(spark, candidates, "cand"), Scratch(spark, "test"), lead="lead", candidate="cand")
+    assert {r.lead: r.cand for r in found.collect()} == {f"l{i:03d}": "c000" for i in range(300)} | {"other": "c"}
+
+
 def test_names_and_persons(spark):
     def one(column, value):
         return spark.createDataFrame([(value,)], "v string").select(column(F.col("v"))).collect()[0][0]

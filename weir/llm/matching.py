@@ -12,6 +12,7 @@ A match needs two of name, phone and person; one alone is shared by different or
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,34 +158,39 @@ def cascade(leads: DataFrame, candidates: DataFrame, scratch: Scratch, *, lead:
     closest full name, then the smallest id. leads and candidates have the columns of with_keys; both may have several rows
     of an id (other phones). Nulls never join. Empty tables give no rows.
 
-    Only keys and ids are joined; a pair of rows that several keys join is one pair with the set of its rules, and fetches
-    what it is compared by once. A key that many records share joins with its rare other keys only, and adaptive execution
-    splits what is left.
+    Leads that say the same are one, and candidates that say the same are the smallest of them, so that a name that a third
+    of all rows have meets only the different ways to write it. Only keys are joined; two that several keys join are
+    compared once, with the set of their rules. Adaptive execution splits the keys that are still frequent.
     """
-    side = lambda df, id, own: df.withColumn(own, F.xxhash64(*[F.col(c) for c in EVIDENCE], "name_words"))
-    open_leads, people = side(leads, lead, "l_row"), side(candidates, candidate, "c_row")
-    told = people.select(candidate, "c_row", *[F.col(c).alias(f"c_{c}") for c in EVIDENCE])
-    numbered, found = list(enumerate(rules)), None
+    says = [*EVIDENCE, "name_words", "partial"]
+    row = F.struct(F.xxhash64(*says).alias("a"), F.xxhash64(F.lit("b"), *says).alias("b"))
+    leads = leads.withColumn("l_row", row)
+    open_rows = scratch.keep(leads.select("l_row", *says).distinct())
+    people = scratch.keep(candidates.withColumn("c_row", row).groupBy("c_row", *says).agg(F.min(candidate).alias(candidate)))
+    told = people.select("c_row", candidate, *[F.col(c).alias(f"c_{c}") for c in EVIDENCE])
+    numbered, found = list(enumerate(rules)), []
     for size in [*PASSES[:-1], len(rules)]:
         now, numbered = numbered[:size], numbered[size:]
         if not now:
             break
-        left = open_leads.select(lead, "l_row", F.inline(_keys(now)))
-        right = people.select(candidate, "c_row", F.inline(_keys(now)))
-        hits = left.join(right, ["rule_no", "key"]).select(lead, "l_row", candidate, "c_row", "rule_no").repartition(lead, "l_row")
-        pairs = hits.groupBy(lead, "l_row", candidate, "c_row").agg(F.bit_or(F.expr("shiftleft(1L, rule_no)")).alias("rules"))
-        both = pairs.join(open_leads.select(lead, "l_row", *EVIDENCE), [lead, "l_row"]).join(told, [candidate, "c_row"])
+        left = open_rows.select("l_row", F.inline(_keys(now)))
+        right = people.select("c_row", F.inline(_keys(now)))
+        hits = left.join(right, ["rule_no", "key"]).select("l_row", "c_row", "rule_no").repartition("l_row")
+        pairs = hits.groupBy("l_row", "c_row").agg(F.bit_or(F.expr("shiftleft(1L, rule_no)")).alias("rules"))
+        both = pairs.join(open_rows.select("l_row", *EVIDENCE), "l_row").join(told, "c_row")
         both = both.withColumn("names", names_agree("whole", "c_whole")).withColumn("persons", persons_agree("", "c"))
         holds = lambda n, r: (F.col("rules").bitwiseAND(1 << n) != 0) & (F.col("names") if r.names else F.lit(True)) & (F.col("persons") if r.persons else F.lit(True))
         both = both.withColumn("rule_no", F.coalesce(*[F.when(holds(n, r), F.lit(n)) for n, r in now])).filter("rule_no is not null")
         agreeing = F.when(F.arrays_overlap("phones", "c_phones"), 1).otherwise(0) + F.when(F.col("persons"), 1).otherwise(0) + F.when(F.col("names"), 1).otherwise(0)
         far = lambda c: F.coalesce(F.levenshtein(c, f"c_{c}"), F.lit(999)).alias(c)
         order = F.struct("rule_no", (-agreeing).alias("a"), far("whole"), far("full"), F.col(candidate))
-        label = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("b.rule_no") + 1)
-        best = scratch.keep(both.groupBy(lead).agg(F.min(order).alias("b")).select(lead, F.col(f"b.{candidate}").alias(candidate), label.alias("rule")))
-        found = best if found is None else found.unionByName(best)
-        open_leads = open_leads.join(best, lead, "left_anti")
-    return found
+        best = scratch.keep(both.groupBy("l_row").agg(F.min(order).alias("b")))
+        found.append(best)
+        open_rows = open_rows.join(best, "l_row", "left_anti")
+    # what another row of a lead found in an earlier pass goes first
+    settled = leads.select(lead, "l_row").join(reduce(DataFrame.unionByName, found), "l_row").groupBy(lead).agg(F.min("b").alias("b"))
+    label = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("b.rule_no") + 1)
+    return settled.select(lead, F.col(f"b.{candidate}").alias(candidate), label.alias("rule"))
 
 
 def rule_confidence(matches: DataFrame, labels: DataFrame, *, lead: str, candidate: str, prior: float = 0.7, weight: float = 10.0) -> DataFrame:

@@ -149,9 +149,7 @@ def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
     told = rows.select("lead", "company_name", "authorized_person", "source_phone").filter("lead is not null").distinct()
     listed = rows.select("candidate_npi", "candidate_legal_name", "candidate_authorized_person", "candidate_phone", "candidate_auth_phone").filter("candidate_npi is not null").distinct()
     leads = scratch.keep(with_keys(told, "company_name", "authorized_person", ["source_phone"]).select("lead", "full", "name_words", "whole", "partial", "first", "last", "phones"))
-    candidates = scratch.keep(
-        with_keys(listed, "candidate_legal_name", "candidate_authorized_person", ["candidate_phone", "candidate_auth_phone"]).select("candidate_npi", "full", "name_words", "whole", "partial", "first", "last", "phones")
-    )
+    candidates = with_keys(listed, "candidate_legal_name", "candidate_authorized_person", ["candidate_phone", "candidate_auth_phone"]).select("candidate_npi", "full", "name_words", "whole", "partial", "first", "last", "phones")
     matches = scratch.keep(cascade(leads, candidates, scratch, lead="lead", candidate="candidate_npi"))
     # where a reviewer accepted a listed candidate of a lead, or two of the three checks passed, the others beside it are wrong
     checks = sum(F.when(F.upper(c) == "TRUE", 1).otherwise(0) for c in ("exact_name", "phone_match", "authorized_person_match"))
