@@ -214,7 +214,7 @@ def test_queries_run(spark, name):
         import duckdb
 
         con = duckdb.connect()
-        for t in ("registry_match_candidates", "lead_group_members", "search_providers", "relationship_trust"):
+        for t in ("registry_match_candidates", "lead_group_members", "search_providers", "relationship_trust", "documents"):
             con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
         want = con.execute(queries.ORACLE[name]).df()
         assert sorted(map(tuple, rows)) == sorted(map(tuple, want[df.columns].values))

@@ -177,7 +177,17 @@ _SAID = """
              and not (regexp_matches(core, '^[A-Z][A-Z]+$') and core = repeat(left(core, 1), length(core)))
              and (field_name not like '%phone' or (regexp_matches(dig, '^1?[0-9]{10}$') and right(dig, 10) <> repeat(right(dig, 1), 10))))"""
 
+#: Every window of every text by its hash: too slow for large corpora, but an answer of another kind than the index.
+_SHARED = """
+      with t as (select doc_id, any_value(text) as text from documents where length(text) >= 200 group by doc_id),
+      w as (select doc_id, unnest(range(1, length(text) - 198)) i, text from t), h as (select doc_id, i, hash(substr(text, i, 200)) h from w),
+      s as (select h from h group by h having min(doc_id) < max(doc_id)),
+      p as (select doc_id, i, lead(i) over (partition by doc_id order by i) n from h where h in (select h from s))
+      select doc_id, sum(least(200, coalesce(n - i, 200)))::bigint shared_chars from p group by doc_id"""
+
 ORACLE = {
+    "p10_found": _SHARED,
+    "p10_batches": _SHARED,
     "p5_found": _SAID + """
       select group_id, field_name, npi from g join ok using (npi)
       qualify row_number() over (partition by group_id, field_name order by trust, upd desc nulls last, npi) = 1""",
