@@ -157,6 +157,17 @@ def test_same_building(spark):
     assert buildings(spark, []) == []
 
 
+def test_buildings_are_the_classes_of_the_pairs(spark):
+    pairs = queries.p6_found(spark, "/root/testdata/sf0.001").collect()
+    others = {}
+    for a, b in pairs:
+        others.setdefault(a, set()).add(b)
+        others.setdefault(b, set()).add(a)
+    rows = queries.p6_buildings(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len({r.npi for r in rows}) and {r.npi for r in rows} >= set(others)
+    assert {r.npi: (r.building, r.others) for r in rows} == {r.npi: (min({r.npi} | others.get(r.npi, set())), len(others.get(r.npi, ()))) for r in rows}
+
+
 def test_spellings(spark):
     rows = [("x", "oleander", 9, 9), ("x", "oleandr", 1, 1), ("x", "oelander", 2, 2), ("x", "orchard", 5, 5), ("x", "28", 9, 9), ("x", "29", 1, 1), ("y", "oleandr", 1, 1), ("x", "oleandre", 5, 5)]
     got = {(r.s, r.w): r.canonical for r in cluster_spellings(spark.createDataFrame(rows, "s string, w string, n int, o int"), "s", "w", "n", "o").collect()}

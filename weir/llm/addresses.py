@@ -201,6 +201,21 @@ def resolve(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: s
     return best.groupBy("id").agg(F.max("h").alias("h")).select(F.col("id").alias(id), "h.locality", "h.street", "h.number", "h.direction", "h.kind")
 
 
+ENTRY = ["locality", "street", "number", "direction", "kind"]
+
+
+def buildings(records: DataFrame, scratch: Scratch, **columns: str) -> DataFrame:
+    """(id, building, others): the smallest id of the building that each record is in, and how many others are there.
+
+    One row for each record that same_building may pair, so that a building with a third of all records costs its rows only:
+    it is reduced by an aggregate, and the join on it is left to adaptive skew handling.
+    """
+    id = columns["id"]
+    found = scratch.keep(resolve(records, scratch, **columns))
+    least = found.groupBy(*ENTRY).agg(F.min(id).alias("building"), (F.count("*") - 1).alias("others"))
+    return found.join(least, ENTRY).select(id, "building", "others")
+
+
 def same_building(records: DataFrame, scratch: Scratch, *, id: str, line: str, city: str, state: str, postal: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: records of different ids in the same building.
 
@@ -210,6 +225,5 @@ def same_building(records: DataFrame, scratch: Scratch, *, id: str, line: str, c
     An empty table gives no rows.
     """
     found = scratch.keep(resolve(records, scratch, id=id, line=line, city=city, state=state, postal=postal))
-    keys = ["locality", "street", "number", "direction", "kind"]
     a, b = found.withColumnRenamed(id, f"{id}_a"), found.withColumnRenamed(id, f"{id}_b")
-    return a.join(b, keys).filter(F.col(f"{id}_a") < F.col(f"{id}_b")).select(f"{id}_a", f"{id}_b")
+    return a.join(b, ENTRY).filter(F.col(f"{id}_a") < F.col(f"{id}_b")).select(f"{id}_a", f"{id}_b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.functions.blanks import phone_digits, says_something
-from weir.llm.addresses import same_building
+from weir.llm.addresses import buildings, same_building
 from weir.llm.components import connected_sets, pair_links, star_links
 from weir.llm.matching import cascade, rule_confidence, with_keys
 from weir.llm.packing import items_of, pack
@@ -75,9 +75,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from seven deliveries, one for each weekday on which documents were received, with compactions between."""
-    documents = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(F.dayofweek("received_at"), F.lit(1)).alias("day"))
-    return shared_in_batches(documents, [documents.filter(F.col("day") == day) for day in range(1, 8)])
+    """The same from five deliveries: what was received on each of the week's first four days, and on the others, with compactions between."""
+    day = F.least(F.coalesce(F.dayofweek("received_at"), F.lit(1)), F.lit(5))
+    documents = table(spark, sf, "documents").select("doc_id", "text", day.alias("delivery"))
+    return shared_in_batches(documents, [documents.filter(F.col("delivery") == i) for i in range(1, 6)])
 
 
 #: Fields of search_providers that lead groups keep.
@@ -140,6 +141,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_building(rows, Scratch(spark, "addresses"), id="npi", line="address_line1", city="city", state="state", postal="postal_code")
 
 
+def p6_buildings(spark: SparkSession, sf: str) -> DataFrame:
+    """The building of each NPI, by its smallest NPI, and how many others are in it."""
+    rows = table(spark, sf, "search_providers").withColumn("npi", F.nullif(F.trim("npi"), F.lit("")))
+    return buildings(rows, Scratch(spark, "addresses"), id="npi", line="address_line1", city="city", state="state", postal="postal_code")
+
+
 def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
     """The registry candidate of each sheet lead that has one, the rule that found it, and its confidence."""
     scratch = Scratch(spark, "matching")
@@ -165,7 +172,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_matches(spark, sf).select("source_sheet", "source_row", "candidate_npi")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p5_phones, p6_found, p7_found, p7_matches, p9_fill, p10_found, p10_batches)}
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_containers, p5_found, p5_records, p5_phones, p6_found, p6_buildings, p7_found, p7_matches, p9_fill, p10_found, p10_batches)}
 
 _SAID = """
       with m as (select group_id, trim(npi) npi, min(coalesce(trust_rank, 99999999)) trust from lead_group_members left join relationship_trust using (relationship_type) group by all),
