@@ -115,7 +115,8 @@ def versions(spark, rows, folder, batches=1):
     store = Satellites(spark, str(folder), change_rates(df, key="npi", attribute="f"), key="npi", attribute="f", effective="on", order=["at", "id"])
     for i in range(batches):
         batch = [r for j, r in enumerate(rows) if j % batches == i]
-        store.load(spark.createDataFrame(batch, HISTORY), F.col("v"))
+        clash = {name: F.lit("clash") for name in ("k", "a", "h", "w", "told", "satellite")}
+        store.load(spark.createDataFrame(batch, HISTORY).withColumns(clash), F.col("v"))
     return sorted(((r.npi, r.f, r.value, r.valid_from, r.valid_to) for r in store.view().collect()), key=str)
 
 
