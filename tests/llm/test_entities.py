@@ -120,6 +120,42 @@ def test_alignment_keeps_votes():
     assert [distance(["a", "b"], x.split()) for x in ("a b", "a", "b a", "x y z")] == [0, 1, 2, 3]
 
 
+def group_tables(spark, at, members, told):
+    spark.createDataFrame(members, "group_id string, npi string, relationship_type string").write.parquet(f"{at}/lead_group_members.parquet")
+    spark.createDataFrame([("owner", 1), ("staff", 3), ("debtor", -1)], "relationship_type string, trust_rank int").write.parquet(f"{at}/relationship_trust.parquet")
+    spark.createDataFrame(told, "npi string, name string, address_line1 string, phone string, official_phone string, last_updated string").write.parquet(f"{at}/search_providers.parquet")
+
+
+def test_only_the_order_decides_who_survives(spark, tmp_path):
+    import duckdb
+
+    members = [("g", "1", "owner"), ("g", "2", "staff"), ("h", "3", "owner"), ("h", "4", "owner"), ("i", "5", "owner"), ("i", "6", "debtor"), ("j", "7", None), ("j", " 8 ", None), ("k", "1", "owner")]
+    told = [
+        # two rows of one date and member: aligned with each other, they would elect what the other member says
+        ("1", "l nn", "Acme Supply", "212-555-0100", None, "2024-01-01"), ("1", "ll n", "Best Health", "N/A", None, "2024-01-01"), ("2", "l n", "Acme Health", "2125550101", "3125550100", "2024-01-01"),
+        ("3", "Acme", "1 Elm St", None, None, "2024-01-01 08:00"), ("4", "Acme Inc", "2 Elm St", None, None, "2024-01-01 09:00"), ("5", "Acme", None, None, None, "2024-01-01"), ("6", "Acme Inc", "", None, None, None), ("7", "Acme", None, None, None, " "), ("8", "Acme", "3 Elm St", None, None, "a"),
+    ]
+    group_tables(spark, tmp_path, members, told)
+    con = duckdb.connect()
+    for t in ("lead_group_members", "relationship_trust", "search_providers"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found = queries.p5_found(spark, str(tmp_path))
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(con.execute(queries.ORACLE["p5_found"]).fetchall())
+    assert {x[:2]: x[2] for x in got if x[1] == "name"} == {("g", "name"): "1", ("h", "name"): "4", ("i", "name"): "6", ("j", "name"): "8"}
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # no stage that changes nothing
+
+
+def test_words_of_a_value_vote(spark, tmp_path):
+    df = spark.createDataFrame([("name", "Acme Supply, Inc."), ("name", "Caf\u00e9 No. 9"), ("name", "--"), ("phone", "(212) 555-0100")], "f string, value string")
+    assert [r[0] for r in df.select(queries.value_tokens()).collect()] == [["ACME", "SUPPLY", "INC"], ["CAF\u00c9", "NO", "9"], ["--"], ["2125550100"]]
+    members = [("g", "1", "owner"), ("g", "2", "staff"), ("g", "3", "staff")]
+    told = [("1", "Acme Helth Supply", "1 Elm St", None, None, None), ("2", "ACME HEALTH SUPPLY", "2 Oak St", None, None, None), ("3", "Acme Health Supply", None, None, None, None)]
+    group_tables(spark, tmp_path, members, told)
+    assert [tuple(r) for r in queries.p5_records(spark, str(tmp_path)).collect()] == [("g", "ACME HEALTH SUPPLY", "1 Elm St", None, None)]
+    assert [tuple(r) for r in queries.p5_found(spark, str(tmp_path)).orderBy("field_name").collect()] == [("g", "address_line1", "1"), ("g", "name", "1")]
+
+
 @pytest.mark.parametrize(
     ("line", "want"),
     [

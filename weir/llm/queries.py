@@ -13,6 +13,7 @@ from weir.llm.packing import items_of, pack
 from weir.llm.spans import SpanIndex
 from weir.llm.survivor import survivors
 from weir.llm.tokenize import documents_with_ids, with_token_count
+from weir.operators.apply import latest_per_key
 from weir.scratch import Scratch
 from weir.sources.tables import table
 
@@ -85,11 +86,8 @@ def p10_batches(spark: SparkSession, sf: str) -> DataFrame:
 SURVIVING = ["name", "address_line1", "phone", "official_phone"]
 
 
-def group_values(spark: SparkSession, sf: str) -> DataFrame:
-    """(g, f, member, value, rank, trust): what the members of groups of two or more say, the best first by rank.
-
-    The most trusted relationship comes first, then the latest update, then the smallest NPI.
-    """
+def member_values(spark: SparkSession, sf: str) -> DataFrame:
+    """(g, f, member, value, trust, at): what the members of groups of two or more say, with repeated rows."""
     trust = table(spark, sf, "relationship_trust").groupBy("relationship_type").agg(F.min("trust_rank").alias("trust"))
     rows = table(spark, sf, "lead_group_members").select(F.col("group_id").alias("g"), F.nullif(F.trim("npi"), F.lit("")).alias("member"), "relationship_type")
     members = rows.join(trust, "relationship_type", "left").groupBy("g", "member").agg(F.min(F.coalesce("trust", F.lit(99999999))).alias("trust")).dropna(subset=["g", "member"])
@@ -99,21 +97,31 @@ def group_values(spark: SparkSession, sf: str) -> DataFrame:
     joined = members.join(many, "g", "left_semi").join(told, "member")  # what members say is all that is looked at
     every = joined.select("g", "member", "trust", "at", F.inline(values))
     is_phone = F.col("f").isin("phone", "official_phone")
-    said = every.filter(says_something(F.col("value")) & (~is_phone | phone_digits(F.col("value")).isNotNull()))
+    return every.filter(says_something(F.col("value")) & (~is_phone | phone_digits(F.col("value")).isNotNull())).select("g", "f", "member", "value", "trust", "at")
+
+
+def group_values(spark: SparkSession, sf: str) -> DataFrame:
+    """(g, f, member, value, rank, trust): what the members of groups of two or more say, the best first by rank.
+
+    The most trusted relationship comes first, then the latest update, then the smallest NPI.
+    """
     newest_first = F.coalesce(F.translate("at", "0123456789", "9876543210"), F.lit("~"))
     rank = F.concat_ws("|", F.lpad(F.col("trust").cast("string"), 8, "0"), F.rpad(newest_first, 10, "~"), "member")
-    return said.select("g", "f", "member", "value", rank.alias("rank"), "trust").distinct()  # a row may be delivered twice
+    return member_values(spark, sf).select("g", "f", "member", "value", rank.alias("rank"), "trust").distinct()  # a row may be delivered twice
 
 
 def value_tokens():
     """A phone is one token, anything else its words."""
-    words = F.regexp_extract_all(F.upper("value"), F.lit(r"([\\p{L}\\p{N}]+)"), 1)
+    words = F.regexp_extract_all(F.upper("value"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     return F.when(F.col("f").isin("phone", "official_phone"), F.array(phone_digits(F.col("value")))).otherwise(F.when(F.size(words) > 0, words).otherwise(F.array("value")))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The member whose value survives, for each group and field."""
-    best = survivors(group_values(spark, sf), Scratch(spark, "survivors"), tokens=value_tokens())
+    """The member whose value survives, for each group and field: the most trusted, then the latest, then the smallest NPI.
+
+    The other members' values have no say in it, so that nothing is aligned or put to the vote.
+    """
+    best = latest_per_key(member_values(spark, sf), ["g", "f"], [F.col("trust"), F.desc_nulls_last("at"), F.col("member")])
     return best.select(F.col("g").alias("group_id"), F.col("f").alias("field_name"), F.col("member").alias("npi"))
 
 

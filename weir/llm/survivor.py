@@ -3,9 +3,8 @@
 The values of a group are aligned token by token, one after the other, into columns; each value votes in every column for
 its token or for none; the consensus is what wins each column; and the existing value closest to it survives.
 
-Votes are summed weights, or ranks. A rank is a weight that is larger than all lower ones together, so that it isn't summed
-but compared: the best-ranked value decides each column, which makes the rule "the most trusted, then the most recent
-value" a case of the same consensus.
+Votes are summed weights. Where the best-ranked value is to decide, as by the rule "the most trusted, then the most recent
+value", it would win every column against all others, so that it survives without any alignment.
 
 A group is aligned in cells of at most CELL values, cells' profiles are aligned with each other, CELL at a time, and so
 on, so that no task holds a group, however large.
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.operators.apply import latest_per_key
 from weir.scratch import Scratch
 
 #: Values or profiles that are aligned with each other in one step.
@@ -130,10 +130,6 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("g", "f", "member", "rank", "value")] + [pa.array(far, pa.int32())], names=["g", "f", "member", "rank", "value", "far"])
 
 
-def _by_rank(a, b):
-    return a if a <= b else b
-
-
 def _by_weight(a, b):
     return a + b
 
@@ -142,17 +138,18 @@ def survivors(values: DataFrame, scratch: Scratch, *, tokens: Column, weight: Co
     """(g, f, member, value): the surviving value of each field f of each group g, and the member that it is from.
 
     values: g, f, member, value, and rank, a string that sorts the best value first and is unique in a group and field.
-    tokens cuts a value into tokens. Without weight the best-ranked value decides; with it the weights of all values are
+    tokens cuts a value into tokens. Without weight the best-ranked value survives; with it the weights of all values are
     summed, and rank only orders the alignment and breaks ties. Values of one token sequence tie.
 
     Rows with a null in g, f, member, value or rank are left out, as are values without tokens; what says nothing should
     be left out before. A group with a single value keeps it. An empty table gives no rows.
     """
+    vote = F.lit(None) if weight is None else weight
+    rows = values.select("g", "f", "member", "value", "rank", tokens.alias("tokens"), vote.cast("double").alias("vote")).dropna(subset=["g", "f", "member", "value", "rank"]).filter(F.size("tokens") > 0)
+    if weight is None:
+        return latest_per_key(rows, ["g", "f"], [F.col("rank"), F.col("member"), F.col("value")]).select("g", "f", "member", "value")
     columns = F.transform("tokens", lambda t: F.create_map(t, F.col("vote")))
-    vote = F.col("rank") if weight is None else weight.cast("double")
-    rows = values.select("g", "f", "member", "value", "rank", tokens.alias("tokens"), vote.alias("vote")).dropna(subset=["g", "f", "member", "value", "rank"]).filter(F.size("tokens") > 0)
     rows = scratch.keep(rows.withColumn("profile", F.concat(F.lit("["), F.to_json(F.array("vote")).substr(F.lit(2), F.length(F.to_json(F.array("vote"))) - 2), F.lit(","), F.to_json(columns), F.lit("]"))))
-    add, wins = (_by_rank, min) if weight is None else (_by_weight, max)
     sizes = rows.groupBy("g", "f").agg(F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).collect()[0][0] or 1  # one number
     depth = 1
@@ -164,7 +161,7 @@ def survivors(values: DataFrame, scratch: Scratch, *, tokens: Column, weight: Co
         cells = CELL ** (depth - 1 - step)
         cell = F.when(F.col("n") <= CELL, F.lit(0)).otherwise(F.pmod("h", F.lit(cells))).cast("string")
         ordered = level.withColumn("cell", cell).repartition("g", "f", "cell").sortWithinPartitions("g", "f", "cell", "rank")
-        merged = ordered.select("g", "f", "cell", "profile").mapInArrow(_merge(add, None if step < depth - 1 else wins), "g string, f string, cell string, profile string")
+        merged = ordered.select("g", "f", "cell", "profile").mapInArrow(_merge(_by_weight, None if step < depth - 1 else max), "g string, f string, cell string, profile string")
         if step < depth - 1:
             merged = scratch.keep(merged)
             level = merged.join(sizes, ["g", "f"]).select("g", "f", F.col("cell").cast("bigint").alias("h"), "n", F.col("cell").alias("rank"), "profile")
